@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, lines, mixing, quality, secrets, shards, warc
+from . import chat, jaccard, language, lines, mixing, quality, secrets, shards, warc
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_chain": lambda s, d: warc.op2(s, table(s, d, "pages")),
         "op3_chat_format": lambda s, d: chat.op3(s, table(s, d, "conversations")),
         "op4_secret_novelty": lambda s, d: secrets.op4(table(s, d, "documents")),
+        "op5_jaccard_join": lambda s, d: jaccard.similarity_components(s, table(s, d, "documents")),
         "op6_language_bayes": lambda s, d: language.op6(s, table(s, d, "documents")),
         "op7_temperature_mix": lambda s, d: mixing.op7(s, table(s, d, "documents")),
         "op8_line_windows": lambda s, d: lines.op8(s, table(s, d, "documents")),
