@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language, lines, mixing, quality, secrets, shards, warc
+from . import chat, decontaminate, jaccard, language, lines, mixing, quality, secrets, shards, warc
 from .common import table
 
 
@@ -20,9 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_bayes": lambda s, d: language.op6(s, table(s, d, "documents")),
         "op7_temperature_mix": lambda s, d: mixing.op7(s, table(s, d, "documents")),
         "op8_line_windows": lambda s, d: lines.op8(s, table(s, d, "documents")),
+        "op9_simhash_leaks": lambda s, d: decontaminate.op9(s, table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_byte_shards": lambda s, d: shards.byte_shards(s, table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_ledger": quality.ORACLE, "op2_warc_chain": warc.ORACLE, "op3_chat_format": chat.ORACLE, "op8_line_windows": lines.ORACLE}
+    return {"op1_quality_ledger": quality.ORACLE, "op2_warc_chain": warc.ORACLE, "op3_chat_format": chat.ORACLE, "op8_line_windows": lines.ORACLE, "op9_simhash_leaks": decontaminate.ORACLE}
