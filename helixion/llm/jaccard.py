@@ -425,7 +425,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             got = [(i, s[2].tobytes()) for i, t in enumerate(texts) if (s := shingles(t))[0] == sids[i].as_py()]
             yield pa.RecordBatch.from_arrays([sids.take(pa.array([i for i, _ in got], pa.int64())), pa.array([b for _, b in got], pa.binary())], ["sid", "set"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").join(wanted.select("doc_id", "sid"), "doc_id")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").join(wanted.select("doc_id", "sid").hint("merge"), "doc_id")
     # Repeated ids may bring other texts along; the name of the text decides. A set that comes twice does no harm.
     return rows.select("sid", "text").mapInArrow(run, "sid long, set binary")
 
@@ -535,5 +535,5 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     repeated = not found.groupBy("_d").count().filter("count > 1").isEmpty()
     kept = found.filter("_d <=> _c").select("_d").distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_t"))
-    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
+    rows = rows.join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
     return (rows.dropDuplicates(["_id", "_t"]) if repeated else rows).select("_row.*")
