@@ -42,13 +42,14 @@ def dedup_lines(scratch: Scratch, docs: DataFrame, name: str = "clean") -> DataF
     and stay. Windows without a word never repeat. Ties are impossible: the
     first is by id (null first), text hash and position.
     """
-    keyed = _keyed(docs)
+    keyed = _keyed(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"], docs["text"]))
     marks = repeated_positions(scratch, keyed)
-    out = keyed.join(marks, ["_k", "_t"], "left")
+    # Texts are shuffled by document at every size, once and without the arrays made of them.
+    out = keyed.drop("_lines").join(marks.hint("merge"), ["_k", "_t"], "left").withColumn("_lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("marked", F.array().cast("array<int>")))
     kept = F.when(F.col("marked").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
     return out.select(
-        *[F.col(c) for c in docs.columns],
+        "_row.*",
         kept.alias(name),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.coalesce(F.size("marked"), F.lit(0)).cast("long").alias("n_removed"),
