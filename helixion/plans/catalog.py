@@ -1,15 +1,410 @@
-"""Registered queries over the provided tables, with their DuckDB texts."""
+"""Registered queries over the provided tables, with their DuckDB texts.
+
+Sequences are the letters a, c, g and t of the documents' texts, upper-cased.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixion.functions import dna, hashing, stats
+from helixion.operators import kmers as G
+from helixion.operators import similarity as J
+from helixion.operators import spectrum as S
+from helixion.operators import unitigs as U
+from helixion.plans import planner
+from helixion.plans.ship import ship
+from helixion.sources import unitig_fasta
+from helixion.streaming.denoise import batches_by_id
+
+Query = Callable[[SparkSession, str], DataFrame]
+K, K_GRAPH, HB = 11, 15, 40
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reads(spark: SparkSession, sf_dir: str, letters: str = "acgt") -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), "lang", F.upper(F.regexp_replace(F.lower("text"), f"[^{letters}]", "")).alias("seq"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("seq"))
+
+
+def spectrum(r: DataFrame, k: int = K) -> DataFrame:
+    return S.count(G.canonical_kmers(r, k))
+
+
+def halves(s: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
+    r = reads(s, d)
+    return spectrum(r.filter("lang = 'en'"), k), spectrum(r.filter("lang <> 'en'"), k)
+
+
+# --------------------------------------------------------------- SQL pieces
+
+READS = "reads AS (SELECT doc_id AS read_id, lang, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS seq FROM documents)"
+ITEMS = "items AS (SELECT item_id, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS seq FROM benchmark)"
+
+
+def rc(x: str) -> str:
+    return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+
+
+def windows(k: int, of: str = "reads", key: str = "read_id, lang", name: str = "km") -> str:
+    return f"{name} AS (SELECT {key}, i - 1 AS pos, substr(seq, i, {k}) AS w FROM (SELECT {key}, seq, unnest(generate_series(1, length(seq) - {k - 1})) AS i FROM {of}))"
+
+
+def counted(where: str = "true", name: str = "sp") -> str:
+    return f"{name} AS (SELECT least(w, {rc('w')}) AS kmer, count(*) AS cnt FROM km WHERE {where} GROUP BY 1)"
+
+
+def on_spectrum(select: str, k: int = K) -> str:
+    return f"WITH {READS}, {windows(k)}, {counted()} {select}"
+
+
+def on_halves(select: str) -> str:
+    return f"WITH {READS}, {windows(K)}, {counted("lang = 'en'", 'a')}, {counted("lang <> 'en'", 'b')} {select}"
+
+
+#: Both strands of solid k-mers, inner links, chains walked from their heads, and cycles from their least k-mers.
+UNITIGS = f"""WITH RECURSIVE {READS}, {windows(K_GRAPH)}, {counted()},
+nodes AS (SELECT kmer AS node, cnt FROM sp WHERE cnt >= 2 UNION SELECT {rc('kmer')}, cnt FROM sp WHERE cnt >= 2),
+o AS (SELECT left(node, {K_GRAPH - 1}) AS m, count(*) AS n, min(node) AS node FROM nodes GROUP BY 1),
+i AS (SELECT right(node, {K_GRAPH - 1}) AS m, count(*) AS n, min(node) AS node FROM nodes GROUP BY 1),
+ln AS (SELECT i.node AS prev, o.node AS node FROM o JOIN i USING (m) WHERE o.n = 1 AND i.n = 1),
+walk AS (
+  SELECT node AS head, node, 0 AS dist FROM nodes WHERE node NOT IN (SELECT node FROM ln)
+  UNION ALL SELECT head, ln.node, dist + 1 FROM walk JOIN ln ON ln.prev = walk.node
+),
+rest AS (SELECT node FROM ln WHERE node NOT IN (SELECT node FROM walk)),
+loop AS (SELECT node AS head, node, 0 AS dist FROM rest UNION ALL SELECT head, ln.node, dist + 1 FROM loop JOIN ln ON ln.prev = loop.node WHERE ln.node <> head),
+low AS (SELECT head FROM loop GROUP BY head HAVING min(node) = head AND head <= min({rc('node')})),
+every AS (SELECT head, node, dist, false AS cycle FROM walk UNION ALL SELECT head, node, dist, true FROM loop WHERE head IN (SELECT head FROM low)),
+grown AS (
+  SELECT cycle, left(head, {K_GRAPH - 1}) || string_agg(right(every.node, 1), '' ORDER BY dist) AS seq, floor(median(cnt))::INT AS median_abundance
+  FROM every JOIN nodes ON nodes.node = every.node GROUP BY head, cycle
+),
+u AS (
+  SELECT row_number() OVER (ORDER BY seq) - 1 AS unitig_id, seq, length(seq)::INT AS len, median_abundance
+  FROM (SELECT DISTINCT CASE WHEN cycle THEN seq ELSE least(seq, {rc('seq')}) END AS seq, median_abundance FROM grown)
+),
+ends AS (
+  SELECT left(seq, {K_GRAPH}) AS end_kmer, unitig_id, 1 AS sign FROM u
+  UNION ALL SELECT {rc(f'right(seq, {K_GRAPH})')}, unitig_id, -1 FROM u WHERE left(seq, {K_GRAPH}) <> {rc(f'right(seq, {K_GRAPH})')}
+),
+outs AS (
+  SELECT unitig_id AS src, 1 AS src_sign, right(seq, {K_GRAPH - 1}) AS m FROM u
+  UNION ALL SELECT unitig_id, -1, {rc(f'left(seq, {K_GRAPH - 1})')} FROM u
+),
+lk AS (SELECT src, src_sign, unitig_id AS dst, sign AS dst_sign, right(end_kmer, 1) AS base FROM outs JOIN ends ON left(end_kmer, {K_GRAPH - 1}) = m)
+"""
+
+
+def graph(s: SparkSession, d: str) -> DataFrame:
+    return U.unitigs(spectrum(reads(s, d), K_GRAPH), K_GRAPH)
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    return U.links(graph(s, d), K_GRAPH)
+
+
+def _reloaded(s: SparkSession, d: str) -> DataFrame:
+    """The graph's FASTA text parsed again, as a file's would be."""
+    text = unitig_fasta.to_fasta(graph(s, d), K_GRAPH)
+    head, seq = F.substring_index("value", "\n", 1), F.substring_index("value", "\n", -1)
+    return text.select("unitig_id", dna.header_field(head, "LN:i").cast("long").alias("len"), dna.header_field(head, "KC:i").cast("long").alias("kmers"), dna.header_field(head, "km:f").cast("long").alias("median"), seq.alias("seq"))
+
+
+def _scalars(s: SparkSession, d: str) -> DataFrame:
+    r = reads(s, d)
+    c = F.col("seq")
+    return r.select(
+        "read_id",
+        dna.reverse_complement(c).alias("revcomp"), dna.n_bases(c).alias("n_bases"), dna.packed_bytes(c).alias("n_bytes"),
+        dna.subsequence(c, 3, 7).alias("sub"), dna.base_at(c, 2).alias("third"), dna.drop_first(c).alias("popped"),
+        dna.append_base(c, "G").alias("appended"), dna.prepend_base("T", c).alias("prepended"), dna.to_lower(c).alias("lower"),
+        dna.replace_base(c, 1, "T").alias("replaced"), dna.complement_base(F.left(c, F.lit(1))).alias("first_complement"),
+    )
+
+
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    km = G.canonical_kmers(reads(s, d), 8, canonical=False).distinct()
+    return km.select("kmer", dna.is_palindrome("kmer").alias("palindrome"), dna.is_hairpin("kmer", 3).alias("hairpin"), dna.is_homopolymer("kmer").alias("simple"), dna.canonical("kmer").alias("canon"))
+
+
+def _codes(s: SparkSession, d: str) -> DataFrame:
+    km = G.canonical_kmers(reads(s, d), 9, canonical=False).distinct()
+    code = dna.encode("kmer")
+    return km.select("kmer", code.alias("code"), dna.decode(code, 9).alias("back"), dna.reverse_complement_code(code, 9).alias("rc_code"))
+
+
+def _neighbours(s: SparkSession, d: str) -> DataFrame:
+    km = G.canonical_kmers(reads(s, d), 7).distinct()
+    return km.select("kmer", F.array_join(dna.kmers_before("kmer"), ",").alias("before"), F.array_join(dna.kmers_after("kmer", "ATGC"), ",").alias("after"))
+
+
+def _positioned(s: SparkSession, d: str) -> DataFrame:
+    return G.positioned_codes(items(s, d), 16, key="item_id")
+
+
+def _lookup(s: SparkSession, d: str) -> DataFrame:
+    a, b = halves(s, d)
+    return S.lookup(a, b.select("kmer"))
+
+
+def _remove(s: SparkSession, d: str) -> DataFrame:
+    return S.remove(*halves(s, d))
+
+
+def _replace(s: SparkSession, d: str) -> DataFrame:
+    return S.replace(*halves(s, d))
+
+
+def _recipe(s: SparkSession, d: str) -> DataFrame:
+    m = S.moments(spectrum(reads(s, d)))
+    e = 1 - F.pow((F.col("f1_total") - F.col("f1") - 2 * F.col("f2")) / F.col("f1_total"), F.lit(1 / K))
+    return m.select((F.col("f0") - F.col("f1") - F.col("f2")).alias("n_true"), F.round(e, 6).alias("error"))
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    return stats.contig_summary(table(s, d, "documents").select(F.length("text").cast("long").alias("len")), 1_000_000)
+
+
+def _ngx(s: SparkSession, d: str) -> DataFrame:
+    return stats.ngx(table(s, d, "documents").select(F.length("text").cast("long").alias("len")), 75, 2_000_000)
+
+
+def _vector(s: SparkSession, d: str) -> DataFrame:
+    q, p = "l_quantity", "l_extendedprice"
+    return table(s, d, "lineitem").groupBy("l_returnflag").agg(
+        F.round(stats.mean(q), 6).alias("mean_q"), F.round(stats.sum_sq_dev(q), 2).alias("sq_dev_q"), F.round(stats.median(q), 6).alias("median_q"), F.round(stats.pearson(q, p), 6).alias("pearson_qp"), F.round(F.sum(F.col(q) * F.col("l_linenumber")), 2).alias("dot_qn")
+    )
+
+
+def _sets(s: SparkSession, d: str) -> DataFrame:
+    """Neighbouring benchmark items as sets of 4-mers."""
+    a = items(s, d).select("item_id", F.array_distinct(G.forward_windows(F.col("seq"), 4)).alias("x"))
+    b = a.select((F.col("item_id") + 1).alias("item_id"), F.col("x").alias("y"))
+    return a.join(b, "item_id").select("item_id", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.round(stats.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.round(stats.overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
+def _sketches(s: SparkSession, d: str) -> DataFrame:
+    a = items(s, d).select("item_id", hashing.minhash_sketch(F.transform(G.forward_windows(F.col("seq"), 8), lambda w: dna.encode(w)), 16).alias("x"))
+    b = a.select((F.col("item_id") + 1).alias("item_id"), F.col("x").alias("y"))
+    return a.join(b, "item_id").select("item_id", F.round(stats.sketch_jaccard(F.col("x"), F.col("y"), 16), 6).alias("jaccard"))
+
+
+def _bits(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    return o.select("o_orderkey", F.round(stats.jaccard_bits(F.col("o_orderkey") + 1, F.col("o_custkey") + 1), 6).alias("jaccard"))
+
+
+def _pairs(f: Callable[..., DataFrame], *more) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        left = J.placed(reads(s, d), K, "read_id")
+        return f(left, J.placed(items(s, d), K, "item_id"), "read_id", "item_id", *more)
+
+    return run
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(J.shared_runs, 5)(s, d).withColumn("ratio", F.round("ratio", 6))
+
+
+def _tandem(s: SparkSession, d: str) -> DataFrame:
+    return J.is_tandem_repeat(reads(s, d), "read_id")
+
+
+def _same(s: SparkSession, d: str) -> DataFrame:
+    r = reads(s, d).filter("length(seq) > 0")
+    return J.same_sequence(r, r.withColumnRenamed("read_id", "other_id"), "read_id", "other_id").filter("read_id < other_id")
+
+
+def _fingerprints(s: SparkSession, d: str) -> DataFrame:
+    return S.count(hashing.hash_reads(reads(s, d), K, HB), "key")
+
+
+def _hashes(s: SparkSession, d: str) -> DataFrame:
+    km = G.canonical_kmers(items(s, d), K, canonical=False).distinct()
+    return km.select("kmer", hashing.forward_hash("kmer").alias("forward"), hashing.reverse_hash("kmer").alias("reverse"), hashing.canonical_hash("kmer").alias("canonical"), hashing.murmur2_udf("kmer").alias("murmur"))
+
+
+def _multi(s: SparkSession, d: str) -> DataFrame:
+    km = G.canonical_kmers(items(s, d), K, canonical=False).distinct()
+    return km.select("kmer", hashing.multi_hash("kmer", 3).alias("hashes"), hashing.checked_hash("kmer")["valid"].alias("valid"))
+
+
+def _align(s: SparkSession, d: str) -> DataFrame:
+    a = items(s, d)
+    b = a.select((F.col("item_id") + 1).alias("item_id"), F.col("seq").alias("other"))
+    return a.join(b, "item_id").select("item_id", J.semi_global_align("seq", "other").alias("score"))
+
+
+def _incoming_n(s: SparkSession, d: str) -> DataFrame:
+    return S.count(G.canonical_kmers(reads(s, d, "acgtn"), K, n_policy="incoming"))
+
+
+def _rounds(s: SparkSession, d: str) -> DataFrame:
+    """One removal between two batches of reads, as a plan."""
+    a, b = (spectrum(x) for x in batches_by_id(reads(s, d), 2))
+    return S.merge(S.denoise(a), b)
+
+
+def _classify(s: SparkSession, d: str) -> DataFrame:
+    g = graph(s, d)
+    r = reads(s, d).filter(f"length(seq) >= {K_GRAPH}").select("read_id", "seq")
+    return J.classify_contigs(r, U.ends(g, K_GRAPH), K_GRAPH).groupBy("known_ends").agg(F.count("*").alias("n"))
+
+
+def _seed(rule: str) -> Query:
+    return lambda s, d: S.count(G.mid_read_seeds(reads(s, d), K, rule))
+
+
+def _model(s: SparkSession, d: str) -> DataFrame:
+    """Expected error-free windows of an error profile, on the driver, as a row a k."""
+    profile = [0.01 + 0.0002 * i for i in range(100)]
+    return s.createDataFrame([(k, round(planner.true_windows(profile, k), 6)) for k in (11, 21, 31)], "k int, windows double")
+
+
+def _argsort(s: SparkSession, d: str) -> DataFrame:
+    return stats.argsort(table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+
+
+QUERIES: dict[str, Query] = {
+    "kmer_spectrum": lambda s, d: S.denoise(spectrum(reads(s, d))),
+    "kmer_count": lambda s, d: spectrum(reads(s, d)),
+    "kmer_count_long": lambda s, d: spectrum(reads(s, d), 31),
+    "kmer_count_incoming_n": _incoming_n,
+    "kmer_fingerprints": _fingerprints,
+    "kmer_positions": _positioned,
+    "seeds_center": _seed("center"),
+    "seeds_half": _seed("half"),
+    "dna_scalars": _scalars,
+    "dna_flags": _flags,
+    "dna_codes": _codes,
+    "dna_neighbours": _neighbours,
+    "hash_kmers": _hashes,
+    "hash_multi": _multi,
+    "spectrum_solid": lambda s, d: S.solid(spectrum(reads(s, d)), 3, 50),
+    "spectrum_metadata": lambda s, d: S.metadata(spectrum(reads(s, d))),
+    "spectrum_histogram": lambda s, d: S.histogram(spectrum(reads(s, d))),
+    "spectrum_moments": lambda s, d: S.moments(spectrum(reads(s, d))),
+    "spectrum_scan": lambda s, d: S.scan(spectrum(reads(s, d)), "G"),
+    "spectrum_merge": lambda s, d: S.merge(*halves(s, d)),
+    "spectrum_intersect": lambda s, d: S.intersect(*halves(s, d)),
+    "spectrum_intersect_min": lambda s, d: S.intersect(*halves(s, d), counts="min"),
+    "spectrum_inner_product": lambda s, d: S.inner_product(*halves(s, d)),
+    "spectrum_magnitude": lambda s, d: S.magnitude(spectrum(reads(s, d))),
+    "spectrum_cosine": lambda s, d: S.cosine(*halves(s, d)).select(F.round("cosine", 6).alias("cosine")),
+    "spectrum_lookup": _lookup,
+    "spectrum_remove": _remove,
+    "spectrum_delete": lambda s, d: S.delete(*halves(s, d)),
+    "spectrum_replace": _replace,
+    "denoise_rounds": _rounds,
+    "planner_recipe": _recipe,
+    "planner_error_profile": _model,
+    "unitigs": graph,
+    "unitig_links": _links,
+    "unitig_totals": lambda s, d: U.totals(graph(s, d)),
+    "unitig_ends": lambda s, d: U.ends(graph(s, d), K_GRAPH),
+    "unitig_fasta": _reloaded,
+    "unitig_first_wins": lambda s, d: U.first_wins(graph(s, d), K_GRAPH),
+    "unitig_classify_reads": _classify,
+    "contig_summary": _summary,
+    "ngx": _ngx,
+    "vector_stats": _vector,
+    "argsort": _argsort,
+    "jaccard_bits": _bits,
+    "set_similarity": _sets,
+    "sketch_similarity": _sketches,
+    "shared_kmers": _pairs(J.shared_count),
+    "shared_kmers_distinct": _pairs(J.shared_distinct),
+    "shared_kmer_runs": _runs,
+    "tandem_repeat": _tandem,
+    "same_sequence": _same,
+    "semi_global_align": _align,
+}
+
+_PAIRS = f"WITH {READS}, {ITEMS}, {windows(K)}, {windows(K, 'items', 'item_id', 'ki')}, h AS (SELECT DISTINCT read_id, w FROM km), hit AS (SELECT read_id, item_id, pos, ki.w AS w FROM ki JOIN h USING (w))"
+
+ORACLES: dict[str, str] = {
+    "kmer_spectrum": on_spectrum("SELECT * FROM sp WHERE cnt > 1"),
+    "kmer_count": on_spectrum("SELECT * FROM sp"),
+    "kmer_count_long": on_spectrum("SELECT * FROM sp", 31),
+    "kmer_positions": f"""WITH {ITEMS}, {windows(16, 'items', 'item_id')}, b AS (SELECT item_id, pos, w, {rc('w')} AS r, max(pos) OVER (PARTITION BY item_id) AS last FROM km)
+      SELECT item_id, '+' AS strand, pos::INT AS pos, list_reduce(list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda x: x::BIGINT), lambda a, x: a * 4 + x) AS code FROM b
+      UNION ALL SELECT item_id, '-', (last - pos)::INT, list_reduce(list_transform(string_split(translate(r, 'ACGT', '0123'), ''), lambda x: x::BIGINT), lambda a, x: a * 4 + x) FROM b""",
+    "seeds_center": f"WITH {READS} SELECT substr(seq, length(seq) // 2 - {K // 2} + 1, {K}) AS kmer, count(*) AS cnt FROM reads WHERE length(seq) >= {K} GROUP BY 1",
+    "seeds_half": f"WITH {READS} SELECT substr(seq, length(seq) // 2 + 1, {K}) AS kmer, count(*) AS cnt FROM reads WHERE length(seq) >= {K} AND length(seq) // 2 <= length(seq) - {K} GROUP BY 1",
+    "dna_scalars": f"""WITH {READS} SELECT read_id, {rc('seq')} AS revcomp, length(seq)::INT AS n_bases, ((length(seq) + 3) // 4)::INT AS n_bytes, substr(seq, 4, 7) AS sub,
+      nullif(substr(seq, 3, 1), '') AS third, substr(seq, 2) AS popped, seq || 'G' AS appended, 'T' || seq AS prepended, lower(seq) AS lower,
+      left(seq, 1) || 'T' || substr(seq, 3) AS replaced, CASE WHEN seq <> '' THEN translate(left(seq, 1), 'ACGT', 'TGCA') END AS first_complement FROM reads""",
+    "dna_flags": f"""WITH {READS}, {windows(8)} SELECT DISTINCT w AS kmer, w = {rc('w')} AS palindrome, left(w, 3) = {rc('right(w, 3)')} AS hairpin,
+      w = repeat(left(w, 1), 8) AS simple, least(w, {rc('w')}) AS canon FROM km""",
+    "dna_codes": f"""WITH {READS}, {windows(9)}, d AS (SELECT DISTINCT w, {rc('w')} AS r FROM km)
+      SELECT w AS kmer, list_reduce(list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda x: x::BIGINT), lambda a, x: a * 4 + x) AS code, w AS back,
+      list_reduce(list_transform(string_split(translate(r, 'ACGT', '0123'), ''), lambda x: x::BIGINT), lambda a, x: a * 4 + x) AS rc_code FROM d""",
+    "dna_neighbours": f"""WITH {READS}, {windows(7)}, d AS (SELECT DISTINCT least(w, {rc('w')}) AS w FROM km)
+      SELECT w AS kmer, 'A' || left(w, 6) || ',C' || left(w, 6) || ',G' || left(w, 6) || ',T' || left(w, 6) AS before,
+      right(w, 6) || 'A,' || right(w, 6) || 'T,' || right(w, 6) || 'G,' || right(w, 6) || 'C' AS after FROM d""",
+    "spectrum_solid": on_spectrum("SELECT * FROM sp WHERE cnt BETWEEN 3 AND 50"),
+    "spectrum_metadata": on_spectrum("SELECT count(*) AS n_distinct, sum(cnt)::BIGINT AS n_total, max(cnt) AS max_cnt FROM sp"),
+    "spectrum_histogram": on_spectrum("SELECT cnt, count(*) AS n_kmers FROM sp GROUP BY cnt"),
+    "spectrum_moments": on_spectrum("SELECT count(*) AS f0, sum(cnt)::BIGINT AS f1_total, count(*) FILTER (cnt = 1) AS f1, count(*) FILTER (cnt = 2) AS f2, count(*) FILTER (cnt = 3) AS f3 FROM sp"),
+    "spectrum_scan": on_spectrum("SELECT * FROM sp WHERE kmer >= 'G' ORDER BY kmer"),
+    "spectrum_merge": on_halves("SELECT kmer, sum(cnt)::BIGINT AS cnt FROM (FROM a UNION ALL FROM b) GROUP BY kmer"),
+    "spectrum_intersect": on_halves("SELECT * FROM a WHERE kmer IN (SELECT kmer FROM b)"),
+    "spectrum_intersect_min": on_halves("SELECT kmer, least(a.cnt, b.cnt) AS cnt FROM a JOIN b USING (kmer)"),
+    "spectrum_inner_product": on_halves("SELECT coalesce(sum(a.cnt * b.cnt), 0)::BIGINT AS dot FROM a JOIN b USING (kmer)"),
+    "spectrum_magnitude": on_spectrum("SELECT floor(sqrt(sum(cnt * cnt)))::BIGINT AS magnitude FROM sp"),
+    "spectrum_cosine": on_halves("SELECT round((SELECT sum(a.cnt * b.cnt) FROM a JOIN b USING (kmer)) / sqrt((SELECT sum(cnt * cnt) FROM a)::DOUBLE * (SELECT sum(cnt * cnt) FROM b)::DOUBLE), 6) AS cosine"),
+    "spectrum_lookup": on_halves("SELECT b.kmer, coalesce(a.cnt, 0) AS cnt FROM b LEFT JOIN a USING (kmer)"),
+    "spectrum_remove": on_halves("SELECT kmer, a.cnt - coalesce(b.cnt, 0) AS cnt FROM a LEFT JOIN b USING (kmer) WHERE a.cnt > coalesce(b.cnt, 0)"),
+    "spectrum_delete": on_halves("SELECT * FROM a WHERE kmer NOT IN (SELECT kmer FROM b)"),
+    "spectrum_replace": on_halves("SELECT * FROM b UNION ALL SELECT * FROM a WHERE kmer NOT IN (SELECT kmer FROM b)"),
+    "planner_recipe": on_spectrum(f"SELECT count(*) - count(*) FILTER (cnt <= 2) AS n_true, round(1 - pow((sum(cnt) - count(*) FILTER (cnt = 1) - 2 * count(*) FILTER (cnt = 2)) / sum(cnt), 1 / {K}.0), 6) AS error FROM sp"),
+    "planner_error_profile": """WITH k AS (SELECT unnest([11, 21, 31]) AS k), s AS (SELECT k, unnest(range(0, 101 - k)) AS i FROM k)
+      SELECT k::INT AS k, round(sum(p), 6) AS windows FROM (SELECT k, i, product(1 - (0.01::DOUBLE + 0.0002::DOUBLE * j)) AS p FROM (SELECT k, i, unnest(range(i, i + k)) AS j FROM s) GROUP BY k, i) GROUP BY k""",
+    "unitigs": UNITIGS + "SELECT unitig_id, seq, len, median_abundance FROM u",
+    "unitig_links": UNITIGS + "SELECT src, src_sign, dst, dst_sign, base FROM lk",
+    "unitig_totals": UNITIGS + f"SELECT count(*) AS n_unitigs, sum(len)::BIGINT AS total_len, count(*) FILTER (seq = {rc('seq')}) AS n_palindromic FROM u",
+    "unitig_ends": UNITIGS + "SELECT end_kmer, unitig_id, sign FROM ends",
+    "unitig_fasta": UNITIGS + f"SELECT unitig_id, len::BIGINT AS len, (median_abundance::BIGINT * (len - {K_GRAPH - 1}))::BIGINT AS kmers, median_abundance::BIGINT AS median, seq FROM u",
+    "unitig_first_wins": UNITIGS + f"SELECT unitig_id, seq, len, median_abundance FROM u QUALIFY row_number() OVER (PARTITION BY left(seq, {K_GRAPH}) ORDER BY unitig_id) = 1",
+    "unitig_classify_reads": UNITIGS + f""", c AS (SELECT (left(seq, {K_GRAPH}) IN (SELECT end_kmer FROM ends))::INT + ({rc(f'right(seq, {K_GRAPH})')} IN (SELECT end_kmer FROM ends))::INT AS n FROM reads WHERE length(seq) >= {K_GRAPH})
+      SELECT CASE n WHEN 2 THEN 'both' WHEN 1 THEN 'one' ELSE 'none' END AS known_ends, count(*) AS n FROM c GROUP BY 1""",
+    "contig_summary": """WITH l AS (SELECT length(text) AS len FROM documents), c AS (SELECT len, sum(len) OVER (ORDER BY len DESC) AS upto, sum(len) OVER () AS total FROM l)
+      SELECT count(*) AS n_contigs, max(total)::BIGINT AS total, min(len) AS shortest, max(len) AS longest, coalesce(max(len) FILTER (upto >= total // 2), 0) AS n50, coalesce(max(len) FILTER (upto >= 500000), 0) AS ng50 FROM c""",
+    "ngx": "SELECT max(len) FILTER (upto >= 1500000) AS ngx FROM (SELECT len, sum(len) OVER (ORDER BY len DESC) AS upto FROM (SELECT length(text) AS len FROM documents))",
+    "vector_stats": """SELECT l_returnflag, round(avg(l_quantity), 6) AS mean_q, round(var_pop(l_quantity) * count(*), 2) AS sq_dev_q, round(median(l_quantity), 6) AS median_q,
+      round(corr(l_quantity, l_extendedprice), 6) AS pearson_qp, round(sum(l_quantity * l_linenumber), 2) AS dot_qn FROM lineitem GROUP BY 1""",
+    "argsort": "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS rank FROM customer",
+    "jaccard_bits": "SELECT o_orderkey, round(bit_count((o_orderkey + 1) & (o_custkey + 1)) / bit_count((o_orderkey + 1) | (o_custkey + 1)), 6) AS jaccard FROM orders",
+    "set_similarity": f"""WITH {ITEMS}, {windows(4, 'items', 'item_id')}, s AS (SELECT item_id, list(DISTINCT w) AS x FROM km GROUP BY 1)
+      SELECT a.item_id, len(list_intersect(a.x, b.x)) AS shared, round(len(list_intersect(a.x, b.x)) / len(list_distinct(a.x || b.x)), 6) AS jaccard, round(len(list_intersect(a.x, b.x)) / least(len(a.x), len(b.x)), 6) AS overlap
+      FROM s a JOIN s b ON a.item_id = b.item_id + 1""",
+    "sketch_similarity": f"""WITH {ITEMS}, {windows(8, 'items', 'item_id')}, s AS (SELECT item_id, list_sort(list(DISTINCT w))[1:16] AS x FROM km GROUP BY 1)
+      SELECT a.item_id, round(len(list_intersect(list_intersect(list_sort(list_distinct(a.x || b.x))[1:16], a.x), b.x)) / len(list_sort(list_distinct(a.x || b.x))[1:16]), 6) AS jaccard FROM s a JOIN s b ON a.item_id = b.item_id + 1""",
+    "shared_kmers": _PAIRS + " SELECT read_id, item_id, count(*) AS n_shared FROM hit GROUP BY ALL",
+    "shared_kmers_distinct": _PAIRS + " SELECT read_id, item_id, count(DISTINCT w) AS n_shared FROM hit GROUP BY ALL",
+    "shared_kmer_runs": _PAIRS + """, g AS (SELECT read_id, item_id, pos - row_number() OVER (PARTITION BY read_id, item_id ORDER BY pos) AS g FROM hit),
+      r AS (SELECT read_id, item_id, count(*) AS run FROM g GROUP BY read_id, item_id, g HAVING count(*) >= 5), n AS (SELECT item_id, count(*) AS n FROM ki GROUP BY 1)
+      SELECT read_id, item_id, sum(run)::BIGINT AS n_in_runs, round(sqrt(sum(run * run) / (max(n) * max(n))), 6) AS ratio FROM r JOIN n USING (item_id) GROUP BY ALL""",
+    "tandem_repeat": f"""WITH {READS}, {windows(4)}, b AS (SELECT read_id, w FROM km UNION ALL SELECT read_id, {rc('w')} FROM km), c AS (SELECT read_id, w, count(*) AS n FROM b GROUP BY ALL),
+      t AS (SELECT read_id, coalesce(sum(n) FILTER (n >= 10), 0) >= 100 AS is_tandem FROM c GROUP BY 1) SELECT reads.read_id, coalesce(is_tandem, false) AS is_tandem FROM reads LEFT JOIN t USING (read_id)""",
+    "same_sequence": f"WITH {READS}, c AS (SELECT read_id, least(seq, {rc('seq')}) AS c FROM reads WHERE seq <> '') SELECT a.read_id, b.read_id AS other_id FROM c a JOIN c b ON a.c = b.c AND a.read_id < b.read_id",
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
