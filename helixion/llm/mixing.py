@@ -105,6 +105,8 @@ def mix_plan(scratch: Scratch, docs: DataFrame, target: Target, seed: int = 17)
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     share = F.pow(F.col("tokens") / F.lit(float(max(1, total))), F.lit(alpha)) / F.lit(norm)
     want = F.floor(share * F.lit(float(budget)) + F.lit(1e-6)).cast("long")
+    if target.budget == "cover":  # a whole pass of each source, however its share was rounded
+        want = F.greatest(want, F.col("tokens"))
     plan = sources.select(
         "_s", share.alias("weight"),
         F.when(F.col("tokens") > 0, F.expr("1")).otherwise(0).alias("spoken"), "tokens",
@@ -132,8 +134,8 @@ def mix_plan(scratch: Scratch, docs: DataFrame, target: Target, seed: int = 17)
     return out
 
 
-def mixed(scratch: Scratch, docs: DataFrame, target: Target, seed: int = 17) -> DataFrame:
-    """docs with ``copies`` added: how often the mixture takes each row (0: not at all).
+def mixed(scratch: Scratch, docs: DataFrame, target: Target, seed: int = 17, copies: str = "copies", weight: str = "weight") -> DataFrame:
+    """docs with two columns added: how often the mixture takes each row (0: not at all), and its source's weight.
 
     Null sources are a source; null texts have no tokens and go with whole
     passes; an empty table stays empty. Rows repeating id and text fare alike.
@@ -142,7 +144,7 @@ def mixed(scratch: Scratch, docs: DataFrame, target: Target, seed: int = 17) ->
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), source_key(docs["source"]).alias("_s"), draw(docs["doc_id"], docs["text"], seed).alias("_u"))
     # As long as the written plan is small Spark broadcasts it; many sources are joined by shuffle, hot ones split.
     out = d.join(plan, "_s").select("_row", (F.col("passes") + F.coalesce((F.col("_u") <= F.col("last")).cast("long"), F.lit(0))).alias("_copies"), F.col("weight").alias("_weight"))
-    return out.select("_row.*", F.col("_copies").alias("copies"), F.col("_weight").alias("weight"))
+    return out.select("_row.*", F.col("_copies").alias(copies), F.col("_weight").alias(weight))
 
 
 #: Production parameters of the query: as many tokens as the input has, nothing more than twice.
