@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixion.plans.ship import ship
+
 #: A word is a run of anything but these (space, tab, LF, VT, FF, CR).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -19,6 +21,7 @@ MIN_SIMILARITY_PERCENT = 75
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's readers touch the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -79,3 +82,32 @@ def words(text: Column) -> Column:
 def pack(df: DataFrame, *apart: str) -> DataFrame:
     """All columns in one struct, so that working columns can never clash with them."""
     return df.select(*[df[c].alias(f"_{c}") for c in apart], F.struct(*[df[c] for c in df.columns]).alias("_row"))
+
+
+#: A bit table has 2^TABLE_LOG2 words of 64 bits: 512 kB, whatever it holds.
+TABLE_LOG2 = 16
+
+
+def _probes(h: Column) -> tuple[Column, Column]:
+    """Two bit positions, from disjoint bits of a hash."""
+    mask = F.lit((1 << (TABLE_LOG2 + 6)) - 1)
+    return h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
+
+
+def bit_table(df: DataFrame, h: Column) -> DataFrame:
+    """One row, ``bits``: a Bloom filter of fixed size over the 64-bit hashes h.
+
+    Its size is proven, so it may go to every task; as it fills up it lets more
+    pass, never less, so what it screens needs an exact step behind it.
+    """
+    at = df.select(F.explode(F.array(*_probes(h))).alias("p")).groupBy(F.shiftright("p", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("v"))
+    grid = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit((1 << TABLE_LOG2) - 1))).alias("k"))
+    full = grid.join(at, "k", "left").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("t"))
+    return full.select(F.transform("t", lambda x: x["v"]).alias("bits"))
+
+
+def in_bits(bits: Column, h: Column) -> Column:
+    """Whether a hash may be in the table; false is certain."""
+    a, b = _probes(h)
+    test = lambda p: F.call_function("getbit", F.get(bits, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1
+    return test(a) & test(b)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import slices
+
 BUCKETS = 1 << 14
 #: Bounds of the fit: about this many labelled documents, chosen by a hash of their ids over the whole table, and this many languages.
 TRAIN_DOCS = 20_000
@@ -54,7 +56,7 @@ def features(text: str | None) -> np.ndarray | None:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if (f := features(text)) is not None:
                 if lang not in total:
@@ -114,7 +116,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [m.score(features(t)) for t in batch.column(len(fields)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(fields))], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
