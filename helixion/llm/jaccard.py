@@ -21,9 +21,10 @@ hold the same subset in both. Signatures are hashes of (band, segment, subset):
 
 A set without H + 1 units (possible in principle) makes its band switch to one
 element a segment for all sets; so no pair is lost. Groups of a signature are
-never expanded into pairs: each is first a star around one member, verified and
-merged into components; then only members outside their group's main component
-are compared with members of others. Every link is verified on whole sets.
+never expanded into pairs: each is a star around its most central member, the
+best pair of each set is verified, and components merge; this is repeated while
+it merges more. Then only members outside their group's main component are
+compared with members of others. Every link is verified on whole sets.
 
 Element hashes have 64 bits; similarity is exact but for collisions of those
 (under 1e-12 a pair of thousand-shingle documents). Bulk data travel as packed
@@ -33,6 +34,7 @@ arrays, partitions hold a fixed volume of input each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, Scratch
+from .arrow import narrow, slices
+from .common import SHINGLE_WORDS, Scratch, bit_table, in_bits
 
 #: Input bytes (as stored) whose signatures one partition takes.
 BYTES_A_PARTITION = 10_000_000
+#: The same for the steps on shared signatures, which are fewer; a pair is told once by each partition that sees it.
+BYTES_A_PAIR_PARTITION, LEAST_PAIR_PARTITIONS = 25_000_000, 8
 #: Signatures collected before they are dealt out, about 8 bytes each.
-FLUSH = 1_500_000
+FLUSH = 600_000
+#: Star rounds before the exhaustive one, at most.
+ROUNDS = 3
+#: Bits of a set's parity map: two to four times its elements, between these.
+LEAST_BITS, MOST_BITS = 128, 4096
 MIDDLE, LARGE = 4, 6
 FINE = -1
 NO_ID = -(1 << 63)
@@ -70,11 +79,11 @@ def shingles(text: str | None) -> tuple[int, int, np.ndarray]:
     return ((name >> 64) | 1) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63), found
 
 
-def segments_of(band: int) -> int:
-    """Segments of a band's universe; FINE: each element is one."""
+def segments_of(band: int, coarse: int = 1) -> int:
+    """Segments of a band's universe; FINE: each element is one. coarse: so many times fewer than usual."""
     if band < MIDDLE:
         return FINE
-    return (1 << (band + 1)) // 3 if band < LARGE else int((1 << (band + 1)) / 2.4)
+    return int((1 << (band + 1)) / (3 if band < LARGE else 2.4)) // coarse
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,12 +100,12 @@ def instances(n: int) -> list[tuple[int, int, int]]:
     return out + [(1, band + 1, (n + most) // 7)] if most > top else out
 
 
-def signatures(h: np.ndarray, band: int, most: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray, int, int]:
+def signatures(h: np.ndarray, band: int, most: int, fine: bool = False, coarse: int = 1) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(signatures, their segments, units a segment, units to spare) of sorted hashes h; to spare < 0: this partition can't do.
 
     With one unit a segment, each signature is its own segment.
     """
-    m = FINE if fine else segments_of(band)
+    m = FINE if fine else segments_of(band, coarse)
     salt = mix(np.array([band * 2 + (m == FINE)], U))[0]
     if m == FINE:
         take = min(len(h), most + 1 + len(h) // 12)
@@ -205,25 +214,24 @@ def groups(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[keep], np.concatenate(([0], np.cumsum(size[size > 1])[:-1])).astype(np.int64) if (size > 1).any() else np.empty(0, np.int64)
 
 
-def pair_counts(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """x, y, n: distinct pairs with how often each came."""
+def pair_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and how often each came."""
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x[at]), pa.array(y[at]), pa.array(np.diff(np.append(at, len(x))).astype(np.int64))], ["x", "y", "n"])
+    return x[at], y[at], np.diff(np.append(at, len(x))).astype(np.int64)
 
 
-def partitions_for(df: DataFrame) -> int:
+def partitions_for(df: DataFrame, volume: int, least: int) -> int:
     """By the stored size of what df reads, so that each holds a fixed volume however large the table is."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(session, min(60_000, size // BYTES_A_PARTITION if size < 1 << 55 else 0))
+    return max(least, min(60_000, size // volume if size < 1 << 55 else 0))
 
 
 # ---------------------------------------------------------------- signatures
 
 
-def index(docs: DataFrame, buckets: int, fine: frozenset[int] | None = None) -> DataFrame:
+def index(docs: DataFrame, buckets: int, fine: frozenset[int] | None = None, coarse: int = 1) -> DataFrame:
     """Blobs of signatures, and in the same rows packed facts of the documents. fine: only these bands, one element a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +250,7 @@ def index(docs: DataFrame, buckets: int, fine: frozenset[int] | None = None) ->
                 yield from table.append_column("facts", pa.array([None] * len(table), pa.binary())).combine_chunks().to_batches(max_chunksize=256)
             flushes += 1
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sid, second, h = shingles(text)
                 spare = [0, 0]
@@ -250,7 +258,7 @@ def index(docs: DataFrame, buckets: int, fine: frozenset[int] | None = None) ->
                     for which, band, most in instances(len(h)):
                         if fine is not None and band not in fine:
                             continue
-                        sigs, seg, unit, spare[which] = signatures(h, band, most, fine is not None)
+                        sigs, seg, unit, spare[which] = signatures(h, band, most, fine is not None, coarse)
                         if sid in seen:
                             continue
                         if unit == 1:
@@ -261,7 +269,7 @@ def index(docs: DataFrame, buckets: int, fine: frozenset[int] | None = None) ->
                     seen.add(sid)
                 if fine is None:
                     facts.append((NO_ID if doc_id is None else doc_id, sid, second, len(h), *spare))
-                if dealer.n >= FLUSH or len(facts) >= 200_000:
+                if dealer.n >= FLUSH or len(facts) >= 100_000:
                     yield from flush()
         yield from flush()
 
@@ -304,18 +312,26 @@ def count_groups(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(run, FACTS)
 
 
-def allocate(shared: DataFrame) -> DataFrame:
-    """Per set its shared signatures again, with meta bit 0 now: it probes. shared: sid, spare0, spare1, n, and the packed arrays of all buckets."""
+def allocate(shared: DataFrame, spared: dict[int, int]) -> DataFrame:
+    """sid, n, score, keys, probe: per set its shared signatures, which of them it probes, and how many sets meet it there.
+
+    shared: sid, spare0, spare1, n, and the packed arrays of all buckets.
+    spared: the least units to spare of any set in a large band; similar sets
+    share more signatures than that, so a set that shares no more has no partner.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in batch.to_pylist():
                 metas = np.concatenate([np.frombuffer(x["metas"], np.int32) for x in row["parts"]])
                 keys = np.concatenate([np.frombuffer(x["keys"], U) for x in row["parts"]])
                 sizes = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in row["parts"]])
-                probe = np.ones(len(keys), bool)
+                probe, keep = np.ones(len(keys), bool), np.ones(len(keys), bool)
                 for which in (0, 1):
+                    at = (metas & 3) == which
+                    if at.sum() <= spared.get(row["n"].bit_length() - 1 + which, -1):
+                        keep[at] = False
                     for deletes in (0, 2):
                         at = np.flatnonzero((metas & 3) == which | deletes)
                         spare = row[f"spare{which}"] // (2 if deletes else 1)
@@ -325,116 +341,188 @@ def allocate(shared: DataFrame) -> DataFrame:
                         cost = np.zeros(seg.max() + 1, np.int64)
                         np.maximum.at(cost, seg, sizes[at])
                         probe[at[np.isin(seg, np.argsort(-cost, kind="stable")[:spare])]] = False
-                out.append((row["sid"], row["n"], keys.tobytes(), probe.tobytes()))
+                if keep.any():
+                    out.append((row["sid"], row["n"], int((sizes - 1)[keep].sum()), keys[keep].tobytes(), probe[keep].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["sid", "n", "keys", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["sid", "n", "score", "keys", "probe"])
+
+    return shared.mapInArrow(run, "sid long, n int, score long, keys binary, probe binary")
+
+
+def parities(h: np.ndarray) -> bytes:
+    """For each residue whether oddly many of the elements have it; as many residues as a power of two from twice the set's size."""
+    b = min(MOST_BITS, max(LEAST_BITS, 2 << max(0, len(h) - 1).bit_length()))
+    bits = np.bincount((h % U(b)).astype(np.int64), minlength=b) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, words: int) -> np.ndarray:
+    """A parity map for fewer residues: halves laid over each other."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, U).reshape(-1, words), axis=0)
 
-    return shared.mapInArrow(run, "sid long, n int, keys binary, probe binary")
 
+@dataclass
+class Open:
+    """Entries of the groups that somebody probes and that hold several components, in order of group, then set."""
 
-def pairs_from(entries: DataFrame, buckets: int, star: bool) -> DataFrame:
-    """x, y, n: pairs to verify. entries: sid, n, keys, probe and, unless star, label.
+    sid: np.ndarray
+    n: np.ndarray
+    label: np.ndarray
+    score: np.ndarray
+    probe: np.ndarray
+    group: np.ndarray
+    map_at: np.ndarray
+    maps: list[bytes | None]
 
-    star: each member with the group's least. Else: members outside the group's
-    main component with those of other components, one of the two probing.
-    Groups nobody probes give none.
+
+def open_groups(keys: np.ndarray, heads: np.ndarray, probe: np.ndarray, maps: list[bytes | None]) -> Open | None:
+    """heads: per set its id, size, label, score, and number of entries."""
+    map_at = np.repeat(np.arange(heads.shape[1]), heads[4])
+    sid, n, label, score = (np.repeat(heads[i], heads[4]) for i in range(4))
+    order, starts = groups(keys, sid)
+    if not len(order):
+        return None
+    sid, n, label, score, probe, map_at = (v[order] for v in (sid, n, label, score, probe, map_at))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    several = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
+    keep = (several & (np.bincount(group, probe, len(starts)) > 0))[group]
+    return Open(*(v[keep] for v in (sid, n, label, score, probe, group, map_at)), maps) if keep.any() else None
+
+
+def rays(g: Open) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, member, n): of each member its most frequent centre in two stars a group, linear in the group.
+
+    The first star is around the most central member of the group's main
+    component, the second around the most central of the others; rays go to
+    members of other components that are neither too long nor too short.
+    """
+    xs, ys = [], []
+    at = np.arange(len(g.sid))
+    for _ in range(2):
+        if not len(at):
+            break
+        order = np.lexsort((g.label[at], g.group[at]))
+        a = at[order]
+        new = np.concatenate(([True], (g.group[a[1:]] != g.group[a[:-1]]) | (g.label[a[1:]] != g.label[a[:-1]])))
+        count = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        a = a[np.lexsort((g.sid[a], -g.score[a], -count, g.group[a]))]
+        first = np.concatenate(([True], g.group[a[1:]] != g.group[a[:-1]]))
+        centre = a[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        other = g.label[a] != g.label[centre]
+        a, centre = a[other], centre[other]
+        near = 4 * np.minimum(g.n[a], g.n[centre]) >= 3 * np.maximum(g.n[a], g.n[centre])
+        xs.append(g.sid[centre[near]])
+        ys.append(g.sid[a[near]])
+        at = a
+    x, y, n = pair_counts(np.concatenate(xs), np.concatenate(ys))
+    order = np.lexsort((-n, y))
+    x, y, n = x[order], y[order], n[order]
+    best = np.concatenate(([True], y[1:] != y[:-1])) if len(y) else np.empty(0, bool)
+    return x[best], y[best], n[best]
+
+
+def crossings(g: Open) -> Iterator[pa.RecordBatch]:
+    """Members outside their group's main component with all those of other components, unless sizes or parity maps rule them out."""
+    xs, ys, held = [], [], 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in pair_counts(np.concatenate(xs), np.concatenate(ys))], ["x", "y", "n"])
+
+    edges = np.flatnonzero(np.concatenate(([True], g.group[1:] != g.group[:-1], [True])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        sid, n, label, probe, of_map = g.sid[a:b], g.n[a:b], g.label[a:b], g.probe[a:b], g.map_at[a:b]
+        _, of, count = np.unique(label, return_inverse=True, return_counts=True)
+        width = min(len(g.maps[m]) for m in of_map) // 8
+        bits = np.stack([folded(g.maps[m], width) for m in of_map])
+        for i in np.flatnonzero(of != np.argmax(count)):
+            j = np.flatnonzero((label != label[i]) & (probe | probe[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) // 7]
+            xs.append(np.minimum(sid[i], sid[j]))
+            ys.append(np.maximum(sid[i], sid[j]))
+            held += len(j)
+            if held > 1_000_000:
+                yield told()
+                xs, ys, held = [], [], 0
+    if xs:
+        yield told()
+
+
+def pairs_from(entries: DataFrame, buckets: int, kind: str) -> DataFrame:
+    """x, y, n: pairs to verify, y being the member. entries: sid, n, score, keys, probe, label, bits.
+
+    kind "star": of ``rays``; "all": of ``crossings``. Groups nobody probes give none.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             rows = batch.to_pylist()
-            if not rows:
-                continue
             keys = [np.frombuffer(r["keys"], U) for r in rows]
             which = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
             keys, probe = np.concatenate(keys), np.concatenate([np.frombuffer(r["probe"], bool) for r in rows])
-            # Keys hold the bucket number's low bits; any dealing by key keeps a group together.
+            # Any dealing by key keeps a signature's group together.
             bucket = (mix(keys) % U(buckets)).astype(np.int64)
             order = np.lexsort((which, bucket))
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-            sid, n, label = (np.array([r[c] for r in rows], np.int64) for c in ("sid", "n", "label"))
+            facts = np.array([[r[c] for c in ("sid", "n", "label", "score")] for r in rows], np.int64).T
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b > a:
                     o = order[a:b]
                     at = np.concatenate(([0], np.flatnonzero(np.diff(which[o])) + 1))
-                    w = which[o[at]]
-                    out.append((int(bucket[o[0]]), np.stack((sid[w], n[w], label[w], np.diff(np.append(at, len(o))))).tobytes(), (keys[o]).tobytes(), probe[o].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "heads", "keys", "probe"])
+                    heads = np.concatenate((facts[:, which[o[at]]], [np.diff(np.append(at, len(o)))]))
+                    out.append((int(bucket[o[0]]), heads.tobytes(), keys[o].tobytes(), probe[o].tobytes(), [rows[i]["bits"] for i in which[o[at]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3, pa.list_(pa.binary())), strict=True)], ["bucket", "heads", "keys", "probe", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, heads, probe = [np.empty(0, U)], [np.empty((4, 0), np.int64)], [np.empty(0, bool)]
-        for batch in batches:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Open | None:
+        keys, heads, probe, maps = [np.empty(0, U)], [np.empty((5, 0), np.int64)], [np.empty(0, bool)], []
+        for batch in slices(batches, 2048):
             for row in batch.to_pylist():
                 keys.append(np.frombuffer(row["keys"], U))
-                heads.append(np.frombuffer(row["heads"], np.int64).reshape(4, -1))
+                heads.append(np.frombuffer(row["heads"], np.int64).reshape(5, -1))
                 probe.append(np.frombuffer(row["probe"], bool))
-        keys, heads, probe = np.concatenate(keys), np.concatenate(heads, axis=1), np.concatenate(probe)
-        sid, n, label = (np.repeat(heads[i], heads[3]) for i in range(3))
-        # Of a set's repeats of a signature, a probing one stands for all.
-        by = np.argsort(~probe, kind="stable")
-        keys, probe, sid, n, label = keys[by], probe[by], sid[by], n[by], label[by]
-        order, starts = groups(keys, sid)
-        if not len(order):
-            return
-        probe, sid, n, label = probe[order], sid[order], n[order], label[order]
-        size = np.diff(np.append(starts, len(order)))
-        group = np.repeat(np.arange(len(starts)), size)
-        probed = np.bincount(group, probe, len(starts)) > 0
-        similar = lambda i, j: 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
-        if star:
-            centre = starts[group]  # members are in order of sid
-            keep = probed[group] & (np.arange(len(sid)) != centre) & similar(np.arange(len(sid)), centre)
-            yield pair_counts(sid[centre[keep]], sid[keep])
-            return
-        mixed = np.flatnonzero(probed & (np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)))
-        xs, ys, held = [], [], 0
-        for g in mixed:
-            a = starts[g]
-            at = np.arange(a, a + size[g])
-            values, of, count = np.unique(label[at], return_inverse=True, return_counts=True)
-            outside = at[of != np.argmax(count)]
-            for i in outside:
-                j = at[(label[at] != label[i]) & (probe[at] | probe[i])]
-                j = j[similar(j, i)]
-                xs.append(np.minimum(sid[i], sid[j]))
-                ys.append(np.maximum(sid[i], sid[j]))
-                held += len(j)
-                if held > 2_000_000:
-                    yield pair_counts(np.concatenate(xs), np.concatenate(ys))
-                    xs, ys, held = [], [], 0
-        if xs:
-            yield pair_counts(np.concatenate(xs), np.concatenate(ys))
-
-    if "label" not in entries.columns:
-        entries = entries.withColumn("label", F.col("sid"))
-    dealt = entries.select("sid", "n", "label", "keys", "probe").mapInArrow(deal, "bucket int, heads binary, keys binary, probe binary")
-    found = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "x long, y long, n long")
+                maps += row["bits"]
+        return open_groups(np.concatenate(keys), np.concatenate(heads, axis=1), np.concatenate(probe), maps)
+
+    def star_rays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if g := gathered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in rays(g)], ["x", "y", "n"])
+
+    def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if g := gathered(batches):
+            yield from crossings(g)
+
+    dealt = entries.select("sid", "n", "score", "label", "keys", "probe", "bits").mapInArrow(deal, "bucket int, heads binary, keys binary, probe binary, bits array<binary>")
+    step = star_rays if kind == "star" else cross_pairs
+    found = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(step, "x long, y long, n long")
     return found.groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
 # -------------------------------------------------------------- verification
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, set: sorted shingle hashes of the wanted(doc_id, sid), from their whole texts."""
+def token_sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, set, bits: sorted shingle hashes of the wanted(doc_id, sid), from their whole texts, and their parity map.
+
+    A bit table of the wanted ids spares the shuffle most other texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sids, texts = batch.column(0), batch.column(1).to_pylist()
-            got = [(i, s[2].tobytes()) for i, t in enumerate(texts) if (s := shingles(t))[0] == sids[i].as_py()]
-            yield pa.RecordBatch.from_arrays([sids.take(pa.array([i for i, _ in got], pa.int64())), pa.array([b for _, b in got], pa.binary())], ["sid", "set"])
+            got = [(i, s[2].tobytes(), parities(s[2])) for i, t in enumerate(texts) if (s := shingles(t))[0] == sids[i].as_py()]
+            yield pa.RecordBatch.from_arrays([sids.take(pa.array([g[0] for g in got], pa.int64())), *[pa.array([g[i] for g in got], pa.binary()) for i in (1, 2)]], ["sid", "set", "bits"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").join(wanted.select("doc_id", "sid").hint("merge"), "doc_id")
+    bits = scratch.cut(bit_table(wanted, F.xxhash64("doc_id")), "bits").scalar()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").filter(in_bits(bits, F.xxhash64("doc_id"))).join(wanted.select("doc_id", "sid").hint("merge"), "doc_id")
     # Repeated ids may bring other texts along; the name of the text decides. A set that comes twice does no harm.
-    return rows.select("sid", "text").mapInArrow(run, "sid long, set binary")
+    return rows.select("sid", "text").mapInArrow(run, "sid long, set binary, bits binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) that link: 100 * intersection >= 75 * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(a, U), np.frombuffer(b, U)
@@ -474,16 +562,24 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     return scratch.cut(out.unionByName(out.select(F.col("label").alias("node"), "label").distinct()), "components")
 
 
-def similarity_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def similarity_components(spark: SparkSession, docs: DataFrame, coarse: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
+    coarse: divides the number of segments; the bands where that is too few switch.
+
     Null and wordless texts have no shingles and are components of their own.
     Equal word sequences are one set. The component of rows that have only null
     ids is null. An empty table gives an empty result; other columns are ignored.
     """
+    with narrow(spark):
+        return _components_of(spark, docs, coarse)
+
+
+def _components_of(spark: SparkSession, docs: DataFrame, coarse: int) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
-    buckets = partitions_for(docs)
-    told = scratch.cut(count_groups(index(docs, buckets), buckets), "counted")
+    buckets = partitions_for(docs, BYTES_A_PARTITION, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parted = partitions_for(docs, BYTES_A_PAIR_PARTITION, LEAST_PAIR_PARTITIONS)
+    told = scratch.cut(count_groups(index(docs, buckets, None, coarse), buckets), "counted")
     scratch.release()
     facts = told.filter("kind = 0").select("doc_id", "sid", "second", "n", "spare0", "spare1")
     # Equal sets become one; ids are summed up before the shuffle, so hot copies are no hot keys.
@@ -501,20 +597,35 @@ def similarity_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         # What they can spare differs between the two ways; probe with everything then.
         fine = [F.length(F.bin("n")) + i for i in (-1, 0)]
         sets = sets.withColumns({f"spare{i}": F.when(fine[i].isin(*bands), F.lit(0)).otherwise(F.col(f"spare{i}")) for i in (0, 1)})
+    least = sets.select(F.explode(F.array(*[F.struct((F.length(F.bin("n")) - 1 + i).alias("band"), F.col(f"spare{i}").alias("spare"), (F.lit(i == 0) | (F.floor(F.col("n") * 4 / 3) >= F.pow(F.lit(2), F.length(F.bin("n"))))).alias("there")) for i in (0, 1)])).alias("x")).select("x.*")
+    least = least.filter(f"there AND band >= {LARGE}").groupBy("band").agg(F.min("spare").alias("spare"))
+    spared = {r["band"]: max(0, r["spare"]) for r in least.collect() if r["band"] not in bands}  # at most 64 rows
     parts = shared.groupBy("sid").agg(F.collect_list(F.struct("metas", "keys", "sizes")).alias("parts"))  # a set's signatures, bounded by its text
-    entries = scratch.cut(allocate(parts.join(sets.select("sid", "n", "spare0", "spare1"), "sid")), "entries")
+    entries = scratch.cut(allocate(parts.join(sets.select("sid", "n", "spare0", "spare1"), "sid"), spared), "entries")
     scratch.release()
-    tokens = scratch.cut(token_sets(docs, sets.select(F.col("some_id").alias("doc_id"), "sid").join(entries.select("sid"), "sid", "left_semi")), "tokens")
-    scratch.release()
-    stars = scratch.cut(pairs_from(entries, buckets, True), "stars")
-    best = stars.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x"))
-    first = scratch.cut(verify(best, tokens), "links")
-    labels = components(scratch, first)
+    wanted = entries.select("sid").join(sets.select("sid", F.col("some_id").alias("doc_id")), "sid")
+    tokens = scratch.cut(token_sets(scratch, docs, wanted), "tokens")
+    labels = entries.select(F.col("sid").alias("node"), F.col("sid").alias("label"))
     scratch.release()
+    links, tried, before = None, None, 0
+    for _ in range(ROUNDS):
+        named = entries.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        found = pairs_from(named.withColumn("bits", F.lit(None).cast("binary")), parted, "star")
+        best = found.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        best = scratch.cut(best if tried is None else best.join(tried, ["x", "y"], "left_anti"), "best")
+        scratch.release()
+        linked = verify(best, tokens)
+        links = scratch.cut(linked if links is None else links.unionByName(linked), "links")
+        tried = best if tried is None else tried.unionByName(best)
+        labels = components(scratch, links)
+        now = links.count()
+        if now == before:
+            break
+        before = now
     named = entries.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    rest = scratch.cut(pairs_from(named, buckets, False), "rest")
-    links = scratch.cut(first.unionByName(verify(rest.join(best, ["x", "y"], "left_anti"), tokens)), "links")
-    scratch.drop(tokens, entries, stars, rest)
+    rest = scratch.cut(pairs_from(named.join(tokens.select("sid", "bits").dropDuplicates(["sid"]), "sid"), parted, "all").select("x", "y").join(tried, ["x", "y"], "left_anti"), "rest")
+    links = scratch.cut(links.unionByName(verify(rest, tokens)), "links")
+    scratch.drop(tokens, rest)
     final = components(scratch, links).withColumnRenamed("node", "sid")
     scratch.release()
     named = sets.select("sid", "rep").join(final, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
