@@ -20,12 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_SIMILARITY_PERCENT, SHINGLE_WORDS, Scratch, words
+from .common import MIN_SIMILARITY_PERCENT, SHINGLE_WORDS, Scratch, bit_table, in_bits, words
 
 BITS = 64
 RADIUS = 16
-#: The bit table has 2^TABLE_LOG2 words of 64 bits: 512 kB, whatever the benchmark's size.
-TABLE_LOG2 = 16
 
 
 def word_hashes(text: Column) -> Column:
@@ -39,22 +37,6 @@ def shingle_hashes(h: Column) -> Column:
     return F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE_WORDS)]))
 
 
-def probes(h: Column) -> tuple[Column, Column]:
-    """Two bit positions in the table, from disjoint bits of the hash."""
-    mask = F.lit((1 << (TABLE_LOG2 + 6)) - 1)
-    return h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
-
-
-def bit_table(shingles: DataFrame) -> DataFrame:
-    """One row with ``bits``: array of 2^TABLE_LOG2 longs. shingles: column s."""
-    a, b = probes(F.col("s"))
-    at = shingles.select(F.explode(F.array(a, b)).alias("p")).groupBy(F.shiftright("p", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("v"))
-    slots = F.sequence(F.lit(0), F.lit((1 << TABLE_LOG2) - 1))
-    grid = shingles.sparkSession.range(1).select(F.explode(slots).alias("k"))
-    full = grid.join(at, "k", "left").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("t"))
-    return full.select(F.transform("t", lambda x: x["v"]).alias("bits"))
-
-
 def simhash(h: Column) -> Column:
     """64-bit SimHash of an array of word hashes; every occurrence weighs one. A bit is set by more than half of the words."""
     half = F.size(h)
@@ -102,17 +84,12 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
     """
     items = scratch.cut(items_of(benchmark), "items")
     places = scratch.cut(items.select("w", F.explode("s").alias("s")).distinct(), "places")
-    table = scratch.cut(bit_table(places.select("s").distinct()), "table")
+    table = scratch.cut(bit_table(places.select("s").distinct(), F.col("s")), "table")
     bits = table.scalar()
     d = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), word_hashes(F.col("text")).alias("h"))
     d = d.select("doc_id", "row", "h", shingle_hashes(F.col("h")).alias("s"), bits.alias("bits"))
 
-    def hit(x: Column) -> Column:
-        a, b = probes(x)
-        test = lambda p: F.call_function("getbit", F.get("bits", F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1
-        return test(a) & test(b)
-
-    d = d.select("doc_id", "row", "h", "s", F.filter(F.transform("s", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull()).alias("p"))
+    d = d.select("doc_id", "row", "h", "s", F.filter(F.transform("s", lambda x, i: F.when(in_bits(F.col("bits"), x), i)), lambda i: i.isNotNull()).alias("p"))
     # Exploded as one element: later filters can't copy the expressions above into themselves.
     d = d.select(F.explode(F.when(F.size("p") > 0, F.array(F.struct("doc_id", "row", "h", F.transform("p", lambda i: F.struct(i.alias("i"), F.get("s", i).alias("s"))).alias("p")))).otherwise(F.expr("array()"))).alias("x"))
     found = scratch.cut(d.select("x.*"), "seeded")
@@ -129,6 +106,8 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
 
     windows = runs.withColumn("need", need(F.col("w"))).select("row", "w", F.explode(F.flatten(F.transform("p", starts))).alias("start"))
     windows = windows.join(found.select("row", "doc_id", "h"), "row").filter("start + w <= size(h)").select("doc_id", "row", "w", "start", F.slice("h", F.col("start") + 1, F.col("w")).alias("h"))
+    # Few bytes, much work: dealt out by number, where sizes alone would make few tasks.
+    windows = windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "start")
     windows = scratch.cut(windows.withColumn("f", simhash(F.col("h"))), "windows")
     prints = items.withColumn("f", simhash(F.col("h"))).select("item_id", "w", "s", F.col("f").alias("g"))
     left = windows.select("doc_id", "row", "w", "start", "f", "h", F.explode(blocks(F.col("f"))).alias("k")).select("*", "k.b", "k.v").drop("k")
