@@ -1,15 +1,17 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 For each item of w words, windows of w words of a document are fingerprinted
-with a 64-bit SimHash of their words. Fingerprints are cut into RADIUS + 1
+with a 64-bit SimHash of their words. A document of fewer words, but a shingle
+at least, is one window: its whole text. Fingerprints are cut into RADIUS + 1
 blocks; two that differ in at most RADIUS bits agree in a block (pigeonhole),
 so an equality join on (w, block number, block) finds every pair within the
 radius. Candidates are verified by their weighted 5-word shingles: sum of the
 smaller over sum of the larger multiplicities, 0.75 or more.
 
 Windows that can't reach that similarity are left out before fingerprinting,
-which loses nothing: a window of w words similar enough to an item of w words
-has at least 6/7 of its shingle places filled with shingles of items that long.
+which loses nothing: a window similar enough to an item of w words has at least
+3/7 of the shingle places of both together (6/7 of its own, where it has w words)
+filled with shingles of items that long.
 A bit table of fixed size (a Bloom filter with two probes over the items'
 shingles) lets a document's places be tested in its own row, so texts of clean
 documents are neither exploded nor shuffled. Built-in expressions only.
@@ -68,16 +70,17 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return out.filter(F.col("w") >= SHINGLE_WORDS).withColumn("s", shingle_hashes(F.col("h")))
 
 
-def need(w: Column) -> Column:
-    """Least shingle places of a window of w words that must be shingles of items: the overlap of two equal sizes at the threshold."""
-    k, p = w - SHINGLE_WORDS + 1, MIN_SIMILARITY_PERCENT
-    return F.ceil(F.lit(2 * p) * k / (100 + p) - F.lit(1e-9)).cast("int")
+def need(n: Column, w: Column) -> Column:
+    """Least shingle places of a window of n words that must be shingles of items of w words: the overlap of these sizes at the threshold."""
+    k, p = n + w - 2 * (SHINGLE_WORDS - 1), MIN_SIMILARITY_PERCENT
+    return F.ceil(F.lit(p) * k / (100 + p) - F.lit(1e-9)).cast("int")
 
 
 def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, distance, low, high: windows of documents that are near copies of an item.
 
-    One row per (doc_id, item_id): the most similar window, then the first.
+    One row per (doc_id, item_id): the most similar window, then the first. A
+    document shorter than an item is compared with it as a whole.
     start counts words from 0. Texts are lower-cased. Null or short texts and an
     empty benchmark give no rows; documents sharing an id are examined each and
     reported under the id; a null id is reported as null.
@@ -94,8 +97,8 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
     d = d.select(F.explode(F.when(F.size("p") > 0, F.array(F.struct("doc_id", "row", "h", F.transform("p", lambda i: F.struct(i.alias("i"), F.get("s", i).alias("s"))).alias("p")))).otherwise(F.expr("array()"))).alias("x"))
     found = scratch.cut(d.select("x.*"), "seeded")
     # Exact from here on: places of shingles that items of w words have.
-    seeds = found.select("row", F.explode("p").alias("p")).select("row", "p.i", "p.s").join(places, "s")
-    runs = seeds.groupBy("row", "w").agg(F.sort_array(F.collect_list("i")).alias("p"))
+    seeds = found.select("row", F.size("h").alias("n"), F.explode("p").alias("p")).select("row", "n", "p.i", "p.s").join(places, "s")
+    runs = seeds.groupBy("row", "n", "w").agg(F.sort_array(F.collect_list("i")).alias("p"))
     last = F.col("w") - SHINGLE_WORDS  # of a window starting at 0
 
     def starts(i: Column, j: Column) -> Column:
@@ -104,8 +107,11 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
         low = F.greatest(F.coalesce(F.get("p", j - 1) + 1, F.lit(0)), end - last, F.lit(0))
         return F.when(end.isNotNull() & (low <= i), F.sequence(low, i)).otherwise(F.array().cast("array<int>"))
 
-    windows = runs.withColumn("need", need(F.col("w"))).select("row", "w", F.explode(F.flatten(F.transform("p", starts))).alias("start"))
-    windows = windows.join(found.select("row", "doc_id", "h"), "row").filter("start + w <= size(h)").select("doc_id", "row", "w", "start", F.slice("h", F.col("start") + 1, F.col("w")).alias("h"))
+    whole = F.when(F.size("p") >= F.col("need"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    runs = runs.withColumn("need", need(F.least("n", "w"), F.col("w")))
+    windows = runs.select("row", "n", "w", F.explode(F.when(F.col("n") < F.col("w"), whole).otherwise(F.flatten(F.transform("p", starts)))).alias("start"))
+    # A slice of a shorter text is all of it.
+    windows = windows.filter("start = 0 OR start + w <= n").join(found.select("row", "doc_id", "h"), "row").select("doc_id", "row", "w", "start", F.slice("h", F.col("start") + 1, F.col("w")).alias("h"))
     # Few bytes, much work: dealt out by number, where sizes alone would make few tasks.
     windows = windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "start")
     windows = scratch.cut(windows.withColumn("f", simhash(F.col("h"))), "windows")
@@ -118,7 +124,7 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
     near = near.filter(F.col("b") == agree).select("doc_id", "item_id", "start", "distance", weighted_similarity(shingle_hashes(F.col("h")), F.col("s")).alias("m"))
     near = near.select("doc_id", "item_id", F.explode(F.array(F.struct(F.col("m.low").alias("low"), F.col("m.high").alias("high"), "start", "distance"))).alias("m"))
     leaks = near.filter(f"100 * m.low >= {MIN_SIMILARITY_PERCENT} * m.high")
-    best = leaks.groupBy("doc_id", "item_id").agg(F.min_by("m", F.struct((-F.col("m.low") / F.col("m.high")).alias("a"), F.col("m.start").alias("b"))).alias("m"))
+    best = leaks.groupBy("doc_id", "item_id").agg(F.min_by("m", F.struct((-F.col("m.low") / F.col("m.high")).alias("a"), F.col("m.start").alias("b"), F.col("m.high").alias("c"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.start").cast("long").alias("start"), F.col("m.low").cast("long").alias("low"), F.col("m.high").cast("long").alias("high"), F.col("m.distance").alias("distance"))
 
 

@@ -393,6 +393,21 @@ def test_leaks_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): (r.start_word, r.shared_weight, r.total_weight) for r in got} == want and len(want) > 20
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    item = [f"q{i}" for i in range(45)]
+    texts = {
+        1: item[:20] + item[21:],  # an inner word less
+        2: item[:35], 3: item[10:],  # cut to 31 of 41 shingles
+        4: item[:34], 5: item[11:],  # to 30: under the threshold
+        6: item[:4], 7: ["zz", *item[:40]], 8: item,
+    }
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], DOC.split(", lang")[0])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:30]))], "item_id long, text string")
+    got = {r.doc_id: (r.start_word, r.shared_weight, r.total_weight) for r in decontaminate.op9(spark, docs, bench).collect() if r.item_id == 1}
+    assert got == {1: (0, 36, 45), 2: (0, 31, 41), 3: (0, 31, 41), 7: (0, 36, 42), 8: (0, 41, 41)}
+    assert {r.doc_id for r in decontaminate.clean(spark, docs, bench.filter("item_id = 1")).collect()} == {4, 5, 6}
+
+
 def test_leaks_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "A b c D e f g h"), (2, None), (3, ""), (4, "x y z"), (5, "w " * 20)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.op9(spark, odd, bench).collect()}
