@@ -94,7 +94,7 @@ def novel_spans(text: str, lower: str, base: list[tuple[int, int, int]]) -> list
         if any(a < e for a, b in taken[near : near + 3] if b > s):
             continue
         word = m[0]
-        if not _SENSITIVE.search(text, max(0, s - REACH), s) or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
+        if not _SENSITIVE.search(text, max(0, s - REACH), s):
             continue
         if marginal_bytes(text[max(0, s - AROUND) : s] + text[e : e + AROUND], word) >= NOVELTY * len(word):
             found.append((s, 3, e))

@@ -156,6 +156,15 @@ def test_novelty_reports_incompressible_strings_only():
     assert secrets.marginal_bytes("", "authorizationparameter") < secrets.marginal_bytes("", "q7Zk2VxP0mW9tYb4LrNs3c")
 
 
+def test_novelty_needs_neither_digits_nor_letters():
+    text = "the service sends a Bearer {} with each call of the page"
+    for word in ("QxvTzKjWpRbNmLfHgDsY", "KZQXWVJHTRNPLMBD", "GvYtQbZmXwKpJcRdHnLsFqVz", "8305917264580317"):
+        t = text.format(word)
+        assert [t[s:e] for s, _, e in secrets.scan(t)[1]] == [word]
+    for word in ("telecommunications", "Donaudampfschifffahrt", "misunderstandings", "incomprehensibilities", "configurationParameterName", "0000000000000000", "----------------"):
+        assert secrets.scan(text.format(word))[1] == []
+
+
 # ------------------------------------------------------------------ 5 Jaccard
 
 
