@@ -5,7 +5,9 @@ with a 64-bit SimHash of their words. A document of fewer words, but a shingle
 at least, is one window: its whole text. Fingerprints are cut into RADIUS + 1
 blocks; two that differ in at most RADIUS bits agree in a block (pigeonhole),
 so an equality join on (w, block number, block) finds every pair within the
-radius. Candidates are verified by their weighted 5-word shingles: sum of the
+radius. Similar texts can lie beyond it, so windows and items are also joined by
+shingles: of a window's k shingle places, need() at least are shared, so any
+k - need() + 1 places hold a shingle of the item. Candidates are verified by their weighted 5-word shingles: sum of the
 smaller over sum of the larger multiplicities, 0.75 or more.
 
 Windows that can't reach that similarity are left out before fingerprinting,
@@ -76,6 +78,11 @@ def need(n: Column, w: Column) -> Column:
     return F.ceil(F.lit(p) * k / (100 + p) - F.lit(1e-9)).cast("int")
 
 
+def leads(s: Column, least: Column) -> Column:
+    """The distinct shingles of the first places of a window, one of which any item with ``least`` places in common has."""
+    return F.array_distinct(F.slice(s, F.lit(1), F.greatest(F.size(s) - least + 1, F.lit(1))))
+
+
 def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, distance, low, high: windows of documents that are near copies of an item.
 
@@ -117,11 +124,18 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
     windows = scratch.cut(windows.withColumn("f", simhash(F.col("h"))), "windows")
     prints = items.withColumn("f", simhash(F.col("h"))).select("item_id", "w", "s", F.col("f").alias("g"))
     left = windows.select("doc_id", "row", "w", "start", "f", "h", F.explode(blocks(F.col("f"))).alias("k")).select("*", "k.b", "k.v").drop("k")
+    far_left = windows.withColumn("lead", leads(shingle_hashes(F.col("h")), need(F.size("h"), F.col("w")))).select("*", F.explode("lead").alias("v"))
+    far_right = prints.select("item_id", "w", "g", "s", F.explode(F.array_distinct("s")).alias("v"))
     right = prints.select("item_id", "w", "g", "s", F.explode(blocks(F.col("g"))).alias("k")).select("*", "k.b", "k.v").drop("k")
     near = left.join(right, ["w", "b", "v"]).withColumn("x", F.col("f").bitwiseXOR(F.col("g"))).withColumn("distance", F.bit_count("x").cast("int")).filter(F.col("distance") <= RADIUS)
     # A pair that agrees in several blocks is kept where it first does.
     agree = F.array_position(F.transform(blocks(F.col("x")), lambda k: k["v"] == 0), True) - 1
-    near = near.filter(F.col("b") == agree).select("doc_id", "item_id", "start", "distance", weighted_similarity(shingle_hashes(F.col("h")), F.col("s")).alias("m"))
+    near = near.filter(F.col("b") == agree).select("doc_id", "item_id", "start", "distance", "h", "s")
+    far = far_left.join(far_right, ["w", "v"]).withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).cast("int")).filter(F.col("distance") > RADIUS)
+    # Here too, by the first leading shingle that the item has.
+    first = F.get(F.filter("lead", lambda x: F.array_contains("s", x)), F.lit(0))
+    far = far.filter(F.col("v") == first).select("doc_id", "item_id", "start", "distance", "h", "s")
+    near = near.unionByName(far).select("doc_id", "item_id", "start", "distance", weighted_similarity(shingle_hashes(F.col("h")), F.col("s")).alias("m"))
     near = near.select("doc_id", "item_id", F.explode(F.array(F.struct(F.col("m.low").alias("low"), F.col("m.high").alias("high"), "start", "distance"))).alias("m"))
     leaks = near.filter(f"100 * m.low >= {MIN_SIMILARITY_PERCENT} * m.high")
     best = leaks.groupBy("doc_id", "item_id").agg(F.min_by("m", F.struct((-F.col("m.low") / F.col("m.high")).alias("a"), F.col("m.start").alias("b"), F.col("m.high").alias("c"))).alias("m"))

@@ -417,6 +417,16 @@ def test_leaks_in_texts_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontaminate.clean(spark, docs, bench.filter("item_id = 1")).collect()} == {4, 5, 6}
 
 
+def test_leaks_beyond_the_radius(spark):
+    """A similar text far off by fingerprint: up to 1/7 of an item's places give way to one repeated word."""
+    items = [[f"r{k}x{i}" for i in range(60)] for k in range(40)]
+    texts = [w[:52] + ["pad"] * 8 if k % 2 else ["pad"] * 8 + w[8:] for k, w in enumerate(items)]
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{key} long, text string")
+    got = decontaminate.find_leaks(spark, Scratch(spark, "t"), frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.low, r.high) for r in got) == [(k, k, 0, 48, 64) for k in range(40)]
+    assert any(r.distance > decontaminate.RADIUS for r in got) and any(r.distance <= decontaminate.RADIUS for r in got)
+
+
 def test_leaks_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "A b c D e f g h"), (2, None), (3, ""), (4, "x y z"), (5, "w " * 20)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.op9(spark, odd, bench).collect()}
