@@ -1,4 +1,4 @@
-"""What the training-data operators share: shared scratch storage, word splitting, big-integer-free helpers."""
+"""What the training-data operators share: scratch storage, word splitting, bit tables."""
 
 from __future__ import annotations
 
@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset (tests), a new folder that is then set."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a new folder; a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="helixion-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -79,11 +81,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def pack(df: DataFrame, *apart: str) -> DataFrame:
-    """All columns in one struct, so that working columns can never clash with them."""
-    return df.select(*[df[c].alias(f"_{c}") for c in apart], F.struct(*[df[c] for c in df.columns]).alias("_row"))
-
-
 #: A bit table has 2^TABLE_LOG2 words of 64 bits: 512 kB, whatever it holds.
 TABLE_LOG2 = 16
 
@@ -111,3 +108,14 @@ def in_bits(bits: Column, h: Column) -> Column:
     a, b = _probes(h)
     test = lambda p: F.call_function("getbit", F.get(bits, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1
     return test(a) & test(b)
+
+
+def touched(scratch: Scratch, rows: DataFrame, key: Column, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the marked keys, rows that surely have none): only the first need a join, and its shuffle.
+
+    marks has one column. A bit table of fixed size tells them apart; as it
+    fills up, more rows go the long way, with the same result.
+    """
+    bits = scratch.cut(bit_table(marks, F.xxhash64(marks[marks.columns[0]])), "touched").scalar()
+    may = in_bits(bits, F.xxhash64(key))
+    return rows.filter(may), rows.filter(~may)

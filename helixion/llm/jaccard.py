@@ -33,25 +33,35 @@ arrays, partitions hold a fixed volume of input each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import narrow, slices
-from .common import SHINGLE_WORDS, Scratch, bit_table, in_bits
-
-#: Input bytes (as stored) whose signatures one partition takes.
-BYTES_A_PARTITION = 10_000_000
-#: The same for the steps on shared signatures, which are fewer; a pair is told once by each partition that sees it.
-BYTES_A_PAIR_PARTITION, LEAST_PAIR_PARTITIONS = 25_000_000, 8
+from .common import SHINGLE_WORDS, Scratch, bit_table, in_bits, touched
+
+#: Bytes of text whose signatures are worked on at a time.
+BYTES_A_SLICE = 18_000_000
+#: The same for the steps on shared signatures, which are fewer; a pair is told once by each slice that sees it.
+BYTES_A_PAIR_SLICE, LEAST_PAIR_SLICES = 45_000_000, 8
+#: Partitions of a shuffle; a larger table gives each partition more slices.
+MOST_PARTITIONS = 20_000
 #: Signatures collected before they are dealt out, about 8 bytes each.
 FLUSH = 600_000
+#: A signature that so many sets of one task bear isn't counted entry by entry, but as a sum of the task.
+OFTEN = 16
+#: Signatures of a task that are watched for that.
+WATCHED = 500_000
+#: Sets in one group at a time; of larger groups, each chunk of so many is worked on apart. At least BYTES / HOT_SHARE,
+#: so the table of such signatures has 16 bytes for at most half a HOT_SHARE of them.
+GROUP, HOT_SHARE = 250_000, 20_000_000
 #: Star rounds before the exhaustive one, at most.
 ROUNDS = 3
 #: Bits of a set's parity map: two to four times its elements, between these.
@@ -128,194 +138,308 @@ def signatures(h: np.ndarray, band: int, most: int, fine: bool = False, coarse:
     return np.concatenate((mix(whole ^ tag), deleted)), np.concatenate((ids, ids[each][rest])).astype(np.int64), 2, units - most - 1
 
 
-def packed(a: np.ndarray) -> bytes:
-    """Six low bytes of each."""
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-class Dealer:
-    """Collects (signature, run) and deals packed blobs out by bucket, the signature's high bits."""
-
-    def __init__(self, buckets: int):
-        self.buckets = buckets
-        self.clear()
-
-    def clear(self) -> None:
-        self.sigs: list[np.ndarray] = []
-        self.runs: list[np.ndarray] = []
-        self.heads: list[tuple[int, int]] = []
-        self.n = 0
-
-    def add(self, sid: int, meta: int, sigs: np.ndarray) -> None:
-        self.sigs.append(sigs)
-        self.runs.append(np.full(len(sigs), len(self.heads), np.int64))
-        self.heads.append((sid, meta))
-        self.n += len(sigs)
-
-    def deal(self) -> pa.Table | None:
-        """bucket, sids, metas, counts, sigs: a row a bucket."""
-        if not self.heads:
-            return None
-        sigs, runs = np.concatenate(self.sigs), np.concatenate(self.runs)
-        heads = np.array(self.heads, np.int64)
-        bucket = (((sigs >> U(48)) * U(self.buckets)) >> U(16)).astype(np.int64)
-        order = np.lexsort((runs, bucket))
-        sigs, runs, bucket = sigs[order], runs[order], bucket[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-        rows: list[tuple[int, bytes, bytes, bytes, bytes]] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            r = runs[a:b]
-            at = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1))
-            count = np.diff(np.append(at, len(r)))
-            h = heads[r[at]]
-            rows.append((int(bucket[a]), h[:, 0].tobytes(), h[:, 1].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), packed(sigs[a:b])))
-        self.clear()
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "sids", "metas", "counts", "sigs"])
+# ------------------------------------------------------- dealing signatures
 
 
-BLOBS = "bucket int, sids binary, metas binary, counts binary, sigs binary"
+@dataclass(frozen=True)
+class Parts:
+    """n partitions by signature, each worked on in ``subs`` slices, one after the other: a slice holds a fixed volume however large the table is."""
 
+    n: int
+    subs: int
 
-def opened(blobs: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, sid, meta) of all entries of a partition; key: bucket and signature."""
-    keys, sids, metas = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-    for batch in blobs:
-        for row in batch.select(["bucket", "sids", "metas", "counts", "sigs"]).to_pylist():
-            count = np.frombuffer(row["counts"], np.int32)
-            keys.append(unpacked(row["sigs"]) | (U(row["bucket"] & 0xFFFF) << U(48)))
-            sids.append(np.repeat(np.frombuffer(row["sids"], np.int64), count))
-            metas.append(np.repeat(np.frombuffer(row["metas"], np.int32), count))
-    return np.concatenate(keys), np.concatenate(sids), np.concatenate(metas)
+    @classmethod
+    def of(cls, volume: int, each: int, least: int) -> Parts:
+        slices = max(least, -(-volume // each))
+        n = min(MOST_PARTITIONS, slices)
+        return cls(n, -(-slices // n))
 
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        return (((keys >> U(32)) * U(self.n)) >> U(32)).astype(np.int64)
 
-def groups(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of entries without repeats of one set, start of each signature's group in it), only signatures of two sets or more."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    edge = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
-    single = edge & np.concatenate((edge[1:], [True])) if len(k) else edge
-    order = order[~single]
-    order = order[np.lexsort((sids[order], keys[order]))]
-    k, s = keys[order], sids[order]
-    if len(k):
-        order = order[np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))]
-        k = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-    size = np.diff(np.append(starts, len(k)))
-    keep = np.repeat(size > 1, size)
-    return order[keep], np.concatenate(([0], np.cumsum(size[size > 1])[:-1])).astype(np.int64) if (size > 1).any() else np.empty(0, np.int64)
+    def sub(self, keys: np.ndarray) -> np.ndarray:
+        return (((keys & U(0xFFFFFFFF)) * U(self.subs)) >> U(32)).astype(np.int64)
 
 
-def pair_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, and how often each came."""
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, np.int64)
-    return x[at], y[at], np.diff(np.append(at, len(x))).astype(np.int64)
+@dataclass
+class Pack:
+    """Signatures with their owners: heads has a column an owner, whose last number counts its entries; keys and marks have a value an entry."""
+
+    heads: np.ndarray
+    keys: np.ndarray
+    marks: np.ndarray
+    maps: list[bytes]
+
+    def which(self) -> np.ndarray:
+        return np.repeat(np.arange(self.heads.shape[1]), self.heads[-1])
+
+    def only(self, entries: np.ndarray) -> Pack:
+        heads = self.heads.copy()
+        heads[-1] = np.bincount(self.which()[entries], minlength=heads.shape[1])
+        return Pack(heads, self.keys[entries], self.marks[entries], self.maps)
+
+    def dealt(self, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row a place, with the owners that have entries there."""
+        which = self.which()
+        order = np.lexsort((which, place))
+        if not len(order):
+            return
+        which, place, keys, marks = which[order], place[order], self.keys[order], self.marks[order]
+        at = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (which[1:] != which[:-1]))))
+        heads = self.heads[:, which[at]]
+        ends = np.append(at, len(order))
+        heads[-1] = np.diff(ends)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(place[at])) + 1, [len(at)]))
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            i, j = ends[a], ends[b]
+            rows.append((int(place[i]), heads[:, a:b].tobytes(), keys[i:j].tobytes(), marks[i:j].tobytes(), [self.maps[x] for x in which[at[a:b]]] if self.maps else None, None, None))
+            if len(rows) == 256:
+                yield blobs_of(rows)
+                rows = []
+        if rows:
+            yield blobs_of(rows)
+
+
+BLOBS = "place int, heads binary, keys binary, marks binary, maps array<binary>, facts binary, known binary"
+_BLOB_TYPES = (pa.int32(), *[pa.binary()] * 3, pa.list_(pa.binary()), *[pa.binary()] * 2)
+
+
+def blobs_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOB_TYPES, strict=True)], [x.split()[0] for x in BLOBS.split(", ")])
+
+
+def opened(rows: list[dict], columns: int) -> Pack:
+    return Pack(
+        np.concatenate([np.frombuffer(r["heads"], np.int64).reshape(columns, -1) for r in rows], axis=1),
+        np.concatenate([np.frombuffer(r["keys"], U) for r in rows]), np.concatenate([np.frombuffer(r["marks"], np.int32) for r in rows]),
+        [m for r in rows for m in r["maps"] or ()],
+    )
 
 
-def partitions_for(df: DataFrame, volume: int, least: int) -> int:
-    """By the stored size of what df reads, so that each holds a fixed volume however large the table is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(60_000, size // volume if size < 1 << 55 else 0))
+def sliced(blobs: DataFrame, parts: Parts, columns: int, work: Callable[[Pack], Iterator[pa.RecordBatch]], schema: str, aside: Callable[[dict], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """work on each slice of each partition. Rows with facts are worked on aside.
+
+    Several slices: a partition deals its blobs again, and Spark sorts them by
+    slice, on disk if need be; so Python holds one slice.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in slices(batches, 256):
+            yield from batch.to_pylist()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for r in rows(batches):
+            if r["facts"] is not None or r["known"] is not None:
+                yield blobs_of([tuple(r.values())])
+                continue
+            held.append(r)
+            n += len(r["keys"]) // 8
+            if n >= FLUSH:
+                pack = opened(held, columns)
+                yield from pack.dealt(parts.sub(pack.keys))
+                held, n = [], 0
+        if held:
+            pack = opened(held, columns)
+            yield from pack.dealt(parts.sub(pack.keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for r in rows(batches):
+            if r["facts"] is not None or r["known"] is not None:
+                yield from aside(r)
+                continue
+            if held and held[-1]["place"] != r["place"]:
+                pack = opened(held, columns)
+                held = [r]
+                yield from work(pack)
+            else:
+                held.append(r)
+        if held:
+            pack = opened(held, columns)
+            held.clear()
+            yield from work(pack)
+
+    dealt = blobs.repartitionById(parts.n, F.col("place"))
+    if parts.subs > 1:
+        dealt = dealt.mapInArrow(split, BLOBS).sortWithinPartitions("place")
+    return dealt.mapInArrow(run, schema)
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where in sorted columns a new value begins."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def groups(keys: np.ndarray, *owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of entries without repeats of one owner, start of each signature's group in it), only signatures of two owners or more."""
+    order = np.argsort(keys, kind="stable")
+    at = firsts(keys[order])
+    size = np.diff(np.append(at, len(order)))
+    order = order[np.repeat(size > 1, size)]
+    order = order[np.lexsort((*(o[order] for o in owner), keys[order]))]
+    order = order[firsts(keys[order], *(o[order] for o in owner))]
+    at = firsts(keys[order])
+    size = np.diff(np.append(at, len(order)))
+    order = order[np.repeat(size > 1, size)]
+    return order, firsts(keys[order])
 
 
 # ---------------------------------------------------------------- signatures
 
 
-def index(docs: DataFrame, buckets: int, fine: frozenset[int] | None = None, coarse: int = 1) -> DataFrame:
-    """Blobs of signatures, and in the same rows packed facts of the documents. fine: only these bands, one element a segment."""
+class Watch:
+    """Counts the signatures that a task meets more than once at a time."""
+
+    def __init__(self):
+        self.keys, self.n = np.empty(0, U), np.empty(0, np.int64)
+
+    def sizes(self, keys: np.ndarray) -> np.ndarray:
+        """For each entry how often its signature came in this task, as far as watched."""
+        k, of, n = np.unique(keys, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.keys, k)
+        known = np.zeros(len(k), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == k
+        self.n[at[known]] += n[known]
+        n[known] = self.n[at[known]]
+        new = ~known & (n > 1)
+        keys, total = np.concatenate((self.keys, k[new])), np.concatenate((self.n, n[new]))
+        if len(keys) > WATCHED:
+            most = np.argpartition(-total, WATCHED)[:WATCHED]
+            keys, total = keys[most], total[most]
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], total[order]
+        return n[of]
+
+
+def index(docs: DataFrame, parts: Parts, fine: frozenset[int] | None = None, coarse: int = 1) -> DataFrame:
+    """Blobs of signatures by name of the set, and rows aside with packed facts of the documents. fine: only these bands, one element a segment.
+
+    A signature that a task has met OFTEN goes no further entry by entry: its
+    entries are known to be shared and are told aside, and one entry without a
+    name stands for their sum.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, flushes = TaskContext.get().partitionId(), 0
-        dealer, seen, facts = Dealer(buckets), set(), []
+        watch, seen, facts, heads, keys, marks, held = Watch(), set(), [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal flushes
-            told = np.array(facts, np.int64).tobytes()
-            facts.clear()
-            table = dealer.deal()
-            if told:
-                at = xxhash.xxh32_intdigest(f"{part}:{flushes}") % buckets
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([b""], pa.binary())] * 4, pa.array([told], pa.binary())], ["bucket", "sids", "metas", "counts", "sigs", "facts"])
-            if table is not None:
-                yield from table.append_column("facts", pa.array([None] * len(table), pa.binary())).combine_chunks().to_batches(max_chunksize=256)
+            nonlocal flushes, held
+            at = xxhash.xxh32_intdigest(f"{part}:{flushes}") % parts.n
             flushes += 1
+            told = np.array(facts, np.int64).tobytes() if facts else None
+            if heads:
+                pack = Pack(np.array(heads, np.int64).T, np.concatenate(keys), np.concatenate(marks).astype(np.int32), [])
+                facts.clear(), heads.clear(), keys.clear(), marks.clear()
+                held = 0
+                size = watch.sizes(pack.keys)
+                often = size >= OFTEN
+                known = None
+                if often.any():
+                    which = pack.which()[often]
+                    known = np.stack((pack.heads[0][which], pack.heads[1][which], pack.marks[often], pack.keys[often].view(np.int64), size[often])).tobytes()
+                    k, n = np.unique(pack.keys[often], return_counts=True)
+                    sums = Pack(np.array([[0], [0], [len(k)]]), k, -n.astype(np.int32), [])
+                    yield from sums.dealt(parts.part(k))
+                    pack = pack.only(~often)
+                yield from pack.dealt(parts.part(pack.keys))
+                if told or known:
+                    yield blobs_of([(at, None, None, None, None, told, known)])
+            elif told:
+                facts.clear()
+                yield blobs_of([(at, None, None, None, None, told, None)])
 
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sid, second, h = shingles(text)
-                spare = [0, 0]
+                spare, n = [0, 0], 0
                 if len(h):
                     for which, band, most in instances(len(h)):
                         if fine is not None and band not in fine:
                             continue
                         sigs, seg, unit, spare[which] = signatures(h, band, most, fine is not None, coarse)
-                        if sid in seen:
-                            continue
-                        if unit == 1:
-                            dealer.add(sid, which, sigs)
-                        else:
-                            for one in np.unique(seg):
-                                dealer.add(sid, which | 2 | int(one) << 2, sigs[seg == one])
-                    seen.add(sid)
+                        if (sid, second) not in seen:
+                            keys.append(sigs)
+                            marks.append(np.full(len(sigs), which) if unit == 1 else which | 2 | seg << 2)
+                            n += len(sigs)
+                    if n:
+                        heads.append((sid, second, n))
+                        held += n
+                    seen.add((sid, second))
                 if fine is None:
                     facts.append((NO_ID if doc_id is None else doc_id, sid, second, len(h), *spare))
-                if dealer.n >= FLUSH or len(facts) >= 100_000:
+                if held >= FLUSH or len(facts) >= 100_000:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOBS + ", facts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOBS)
 
 
-FACTS = "kind int, sid long, doc_id long, second long, n int, spare0 int, spare1 int, metas binary, keys binary, sizes binary"
+FACTS = "kind int, sid long, second long, doc_id long, n int, spare0 int, spare1 int, marks binary, keys binary, sizes binary"
+_FACT_TYPES = (pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 3, *[pa.binary()] * 3)
 
 
-def count_groups(blobs: DataFrame, buckets: int) -> DataFrame:
-    """kind 0: facts of a document. kind 1: of a set, its signatures in a bucket that other sets share, and by how many."""
+def told_of(kind: int, **columns) -> pa.RecordBatch:
+    names, rows = [x.split()[0] for x in FACTS.split(", ")], len(columns["sid"])
+    columns["kind"] = np.full(rows, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in zip(names, _FACT_TYPES, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
-        none = lambda k, t: pa.nulls(k, t)
-        for batch in batches:
-            for told in batch.column(batch.schema.get_field_index("facts")).to_pylist():
-                if told:
-                    f = np.frombuffer(told, np.int64).reshape(-1, 6)
-                    k = len(f)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(f[:, 1]), pa.array(f[:, 0]), pa.array(f[:, 2]), *[pa.array(f[:, i].astype(np.int32)) for i in (3, 4, 5)], *[none(k, pa.binary())] * 3], [x.split()[0] for x in FACTS.split(", ")])
-            kept.append(batch)
-        keys, sids, metas = opened(iter(kept))
-        kept.clear()
-        order, starts = groups(keys, sids)
+
+def by_set(sid: np.ndarray, second: np.ndarray, marks: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1 of entries."""
+    order = np.lexsort((second, sid))
+    sid, second, marks, keys, sizes = (v[order] for v in (sid, second, marks.astype(np.int32), keys, sizes.astype(np.int64)))
+    cuts = np.append(firsts(sid, second), len(sid)).tolist()
+    for a in range(0, len(cuts) - 1, 4096):
+        c = cuts[a : a + 4097]
+        cells = {name: [x[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)] for name, x in (("marks", marks), ("keys", keys), ("sizes", sizes))}
+        yield told_of(1, sid=sid[c[:-1]], second=second[c[:-1]], **cells)
+
+
+def count_groups(blobs: DataFrame, parts: Parts, hot: int) -> DataFrame:
+    """kind 0: facts of a document. kind 1: of a set, its signatures in a slice that other sets share, and by how many. kind 2: a signature (as sid) of at least ``hot`` sets, and how many (as second)."""
+
+    def work(pack: Pack) -> Iterator[pa.RecordBatch]:
+        which = pack.which()
+        sid, second = pack.heads[0][which], pack.heads[1][which]
+        # Each sum is its own owner: by its place.
+        order, starts = groups(pack.keys, np.where(sid == 0, np.arange(len(sid)), second), sid)
         if not len(order):
             return
-        size = np.diff(np.append(starts, len(order)))
-        size = np.repeat(size, size).astype(np.int32)
-        keys, sids, metas = keys[order], sids[order], metas[order]
-        by = np.argsort(sids, kind="stable")
-        keys, sids, metas, size = keys[by], sids[by], metas[by], size[by]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(sids)) + 1, [len(sids)])).tolist()
-        for a in range(0, len(cuts) - 1, 4096):
-            c = cuts[a : a + 4097]
-            k = len(c) - 1
-            cells = [pa.array([x[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)], pa.binary()) for x in (metas, keys, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(sids[c[:-1]]), *[none(k, pa.int64())] * 2, *[none(k, pa.int32())] * 3, *cells], [x.split()[0] for x in FACTS.split(", ")])
-
-    return blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(run, FACTS)
+        weight = np.where(sid[order] == 0, -pack.marks[order].astype(np.int64), 1)
+        total = np.add.reduceat(weight, starts)
+        big = total >= hot
+        if big.any():
+            yield told_of(2, sid=pack.keys[order][starts[big]].view(np.int64), second=total[big])
+        size = np.repeat(total, np.diff(np.append(starts, len(order))))
+        real = sid[order] != 0
+        order = order[real]
+        yield from by_set(sid[order], second[order], pack.marks[order], pack.keys[order], size[real])
+
+    def aside(row: dict) -> Iterator[pa.RecordBatch]:
+        if row["facts"]:
+            f = np.frombuffer(row["facts"], np.int64).reshape(-1, 6).T
+            yield told_of(0, doc_id=f[0], sid=f[1], second=f[2], n=f[3].astype(np.int32), spare0=f[4].astype(np.int32), spare1=f[5].astype(np.int32))
+        if row["known"]:
+            k = np.frombuffer(row["known"], np.int64).reshape(5, -1)
+            yield from by_set(k[0], k[1], k[2], k[3].view(U), k[4])
+
+    return sliced(blobs, parts, 3, work, FACTS, aside)
 
 
 def allocate(shared: DataFrame, spared: dict[int, int]) -> DataFrame:
-    """sid, n, score, keys, probe: per set its shared signatures, which of them it probes, and how many sets meet it there.
+    """id, n, score, keys, probe: per set its shared signatures, which of them it probes, and how many sets meet it there.
 
-    shared: sid, spare0, spare1, n, and the packed arrays of all buckets.
+    shared: id, spare0, spare1, n, and the packed arrays of all slices.
     spared: the least units to spare of any set in a large band; similar sets
     share more signatures than that, so a set that shares no more has no partner.
     """
@@ -324,29 +448,33 @@ def allocate(shared: DataFrame, spared: dict[int, int]) -> DataFrame:
         for batch in slices(batches):
             out = []
             for row in batch.to_pylist():
-                metas = np.concatenate([np.frombuffer(x["metas"], np.int32) for x in row["parts"]])
+                marks = np.concatenate([np.frombuffer(x["marks"], np.int32) for x in row["parts"]])
                 keys = np.concatenate([np.frombuffer(x["keys"], U) for x in row["parts"]])
-                sizes = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in row["parts"]])
+                sizes = np.concatenate([np.frombuffer(x["sizes"], np.int64) for x in row["parts"]])
+                # Several tasks may have told a signature of one set; the largest sum stands.
+                order = np.lexsort((-sizes, marks, keys))
+                order = order[firsts(keys[order], marks[order])]
+                marks, keys, sizes = marks[order], keys[order], sizes[order]
                 probe, keep = np.ones(len(keys), bool), np.ones(len(keys), bool)
                 for which in (0, 1):
-                    at = (metas & 3) == which
+                    at = (marks & 3) == which
                     if at.sum() <= spared.get(row["n"].bit_length() - 1 + which, -1):
                         keep[at] = False
                     for deletes in (0, 2):
-                        at = np.flatnonzero((metas & 3) == which | deletes)
+                        at = np.flatnonzero((marks & 3) == which | deletes)
                         spare = row[f"spare{which}"] // (2 if deletes else 1)
                         if not len(at) or spare <= 0:
                             continue
-                        seg = np.arange(len(at)) if not deletes else np.unique(metas[at] >> 2, return_inverse=True)[1]
+                        seg = np.arange(len(at)) if not deletes else np.unique(marks[at] >> 2, return_inverse=True)[1]
                         cost = np.zeros(seg.max() + 1, np.int64)
                         np.maximum.at(cost, seg, sizes[at])
                         probe[at[np.isin(seg, np.argsort(-cost, kind="stable")[:spare])]] = False
                 if keep.any():
-                    out.append((row["sid"], row["n"], int((sizes - 1)[keep].sum()), keys[keep].tobytes(), probe[keep].tobytes()))
+                    out.append((row["id"], row["n"], int((sizes - 1)[keep].sum()), keys[keep].tobytes(), probe[keep].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["sid", "n", "score", "keys", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "n", "score", "keys", "probe"])
 
-    return shared.mapInArrow(run, "sid long, n int, score long, keys binary, probe binary")
+    return shared.mapInArrow(run, "id long, n int, score long, keys binary, probe binary")
 
 
 def parities(h: np.ndarray) -> bytes:
@@ -361,32 +489,83 @@ def folded(bits: bytes, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, U).reshape(-1, words), axis=0)
 
 
+# --------------------------------------------------------------------- pairs
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Sorted signatures of very large groups, and into how many chunks each group is cut (0: nobody probes it)."""
+
+    keys: np.ndarray
+    chunks: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.chunks[at], 1)
+
+
+PROBES, LEFT, RIGHT = 1, 2, 4
+
+
+def spread(pack: Pack, hot: Hot, turn: int | None) -> Pack:
+    """Entries of hot signatures, under keys of their own by chunk; chunks are other ones each turn.
+
+    No turn: a chunk meets each other one, LEFT or RIGHT, and itself.
+    """
+    c = hot.of(pack.keys)
+    if (c == 1).all():
+        return pack
+    which = pack.which()
+    chunk = (mix(pack.heads[0][which].astype(U) ^ mix(pack.keys + U((turn or 0) + 1))) % np.maximum(c, 1).astype(U)).astype(np.int64)
+    if turn is not None:
+        return Pack(pack.heads, np.where(c > 1, mix(pack.keys ^ mix(chunk.astype(U) + U(1))), pack.keys), pack.marks, pack.maps)
+    each = np.repeat(np.arange(len(c)), c)
+    other = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c)
+    mine, c = chunk[each], c[each]
+    tile = np.minimum(mine, other) * c + np.maximum(mine, other) + 1
+    keys = np.where(c > 1, mix(pack.keys[each] ^ mix(tile.astype(U))), pack.keys[each])
+    side = np.where(mine == other, 0, np.where(mine < other, LEFT, RIGHT)).astype(np.int32)
+    heads = pack.heads.copy()
+    heads[-1] = np.bincount(which[each], minlength=heads.shape[1])
+    return Pack(heads, keys, pack.marks[each] | side, pack.maps)
+
+
 @dataclass
 class Open:
-    """Entries of the groups that somebody probes and that hold several components, in order of group, then set."""
+    """Entries of the groups that somebody probes and that hold several components, in order of group, then size of the set."""
 
     sid: np.ndarray
     n: np.ndarray
     label: np.ndarray
     score: np.ndarray
-    probe: np.ndarray
+    marks: np.ndarray
     group: np.ndarray
     map_at: np.ndarray
-    maps: list[bytes | None]
+    maps: list[bytes]
 
 
-def open_groups(keys: np.ndarray, heads: np.ndarray, probe: np.ndarray, maps: list[bytes | None]) -> Open | None:
-    """heads: per set its id, size, label, score, and number of entries."""
-    map_at = np.repeat(np.arange(heads.shape[1]), heads[4])
-    sid, n, label, score = (np.repeat(heads[i], heads[4]) for i in range(4))
-    order, starts = groups(keys, sid)
+def open_groups(pack: Pack) -> Open | None:
+    """pack's heads: per set its id, size, label, score, and number of entries."""
+    map_at = pack.which()
+    sid, n, label, score = (pack.heads[i][map_at] for i in range(4))
+    order, starts = groups(pack.keys, sid, n)
     if not len(order):
         return None
-    sid, n, label, score, probe, map_at = (v[order] for v in (sid, n, label, score, probe, map_at))
+    sid, n, label, score, marks, map_at = (v[order] for v in (sid, n, label, score, pack.marks, map_at))
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
     several = np.maximum.reduceat(label, starts) != np.minimum.reduceat(label, starts)
-    keep = (several & (np.bincount(group, probe, len(starts)) > 0))[group]
-    return Open(*(v[keep] for v in (sid, n, label, score, probe, group, map_at)), maps) if keep.any() else None
+    keep = (several & (np.bincount(group, marks & PROBES, len(starts)) > 0))[group]
+    return Open(*(v[keep] for v in (sid, n, label, score, marks, group, map_at)), pack.maps) if keep.any() else None
+
+
+def pair_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and how often each came."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    at = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, np.int64)
+    return x[at], y[at], np.diff(np.append(at, len(x))).astype(np.int64)
 
 
 def rays(g: Open) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -422,20 +601,26 @@ def rays(g: Open) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def crossings(g: Open) -> Iterator[pa.RecordBatch]:
-    """Members outside their group's main component with all those of other components, unless sizes or parity maps rule them out."""
+    """Members outside their group's main component with those of other components, unless sizes or parity maps rule them out.
+
+    A group is in order of size, so what a set may link with is one run of it.
+    """
     xs, ys, held = [], [], 0
 
     def told() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v) for v in pair_counts(np.concatenate(xs), np.concatenate(ys))], ["x", "y", "n"])
 
-    edges = np.flatnonzero(np.concatenate(([True], g.group[1:] != g.group[:-1], [True])))
+    edges = np.append(firsts(g.group), len(g.group))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        sid, n, label, probe, of_map = g.sid[a:b], g.n[a:b], g.label[a:b], g.probe[a:b], g.map_at[a:b]
+        sid, n, label, marks, of_map = g.sid[a:b], g.n[a:b], g.label[a:b], g.marks[a:b], g.map_at[a:b]
+        probe, side = marks & PROBES, marks & (LEFT | RIGHT)
         _, of, count = np.unique(label, return_inverse=True, return_counts=True)
         width = min(len(g.maps[m]) for m in of_map) // 8
         bits = np.stack([folded(g.maps[m], width) for m in of_map])
+        low, high = np.searchsorted(n, (3 * n + 3) // 4), np.searchsorted(n, 4 * n // 3, "right")
         for i in np.flatnonzero(of != np.argmax(count)):
-            j = np.flatnonzero((label != label[i]) & (probe | probe[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+            run = np.s_[low[i] : high[i]]
+            j = low[i] + np.flatnonzero((label[run] != label[i]) & (probe[run] | probe[i] > 0) & ((side[run] != side[i]) | (side[i] == 0)))
             j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) // 7]
             xs.append(np.minimum(sid[i], sid[j]))
             ys.append(np.maximum(sid[i], sid[j]))
@@ -447,105 +632,116 @@ def crossings(g: Open) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def pairs_from(entries: DataFrame, buckets: int, kind: str) -> DataFrame:
-    """x, y, n: pairs to verify, y being the member. entries: sid, n, score, keys, probe, label, bits.
+def pairs_from(entries: DataFrame, parts: Parts, hot: Broadcast, turn: int | None) -> DataFrame:
+    """x, y, n: pairs to verify, y being the member. entries: id, n, score, keys, probe, label, bits.
 
-    kind "star": of ``rays``; "all": of ``crossings``. Groups nobody probes give none.
+    By turns of ``rays``; without a turn, of ``crossings``. Groups nobody probes give none.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             rows = batch.to_pylist()
             keys = [np.frombuffer(r["keys"], U) for r in rows]
-            which = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-            keys, probe = np.concatenate(keys), np.concatenate([np.frombuffer(r["probe"], bool) for r in rows])
+            heads = np.array([[r["id"], r["n"], r["label"], r["score"], len(k)] for r, k in zip(rows, keys, strict=True)], np.int64).T
+            probe = np.concatenate([np.frombuffer(r["probe"], bool) for r in rows]).astype(np.int32)
+            pack = spread(Pack(heads, np.concatenate(keys), probe, [] if turn is not None else [r["bits"] for r in rows]), hot.value, turn)
             # Any dealing by key keeps a signature's group together.
-            bucket = (mix(keys) % U(buckets)).astype(np.int64)
-            order = np.lexsort((which, bucket))
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-            facts = np.array([[r[c] for c in ("sid", "n", "label", "score")] for r in rows], np.int64).T
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    o = order[a:b]
-                    at = np.concatenate(([0], np.flatnonzero(np.diff(which[o])) + 1))
-                    heads = np.concatenate((facts[:, which[o[at]]], [np.diff(np.append(at, len(o)))]))
-                    out.append((int(bucket[o[0]]), heads.tobytes(), keys[o].tobytes(), probe[o].tobytes(), [rows[i]["bits"] for i in which[o[at]]]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3, pa.list_(pa.binary())), strict=True)], ["bucket", "heads", "keys", "probe", "bits"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Open | None:
-        keys, heads, probe, maps = [np.empty(0, U)], [np.empty((5, 0), np.int64)], [np.empty(0, bool)], []
-        for batch in slices(batches, 2048):
-            for row in batch.to_pylist():
-                keys.append(np.frombuffer(row["keys"], U))
-                heads.append(np.frombuffer(row["heads"], np.int64).reshape(5, -1))
-                probe.append(np.frombuffer(row["probe"], bool))
-                maps += row["bits"]
-        return open_groups(np.concatenate(keys), np.concatenate(heads, axis=1), np.concatenate(probe), maps)
+            yield from pack.dealt(parts.part(mix(pack.keys)))
+
+    def work(pack: Pack) -> Iterator[pa.RecordBatch]:
+        if g := open_groups(pack):
+            if turn is None:
+                yield from crossings(g)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in rays(g)], ["x", "y", "n"])
+
+    dealt = entries.select("id", "n", "score", "label", "keys", "probe", *(["bits"] if turn is None else [])).mapInArrow(deal, BLOBS)
+    return sliced(dealt, parts, 5, work, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
 
-    def star_rays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if g := gathered(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in rays(g)], ["x", "y", "n"])
 
-    def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if g := gathered(batches):
-            yield from crossings(g)
+def hot_groups(told: DataFrame, entries: DataFrame, group: int) -> Hot:
+    """The signatures of very large groups; those that no set probes have no chunk. The table is bounded: see HOT_SHARE."""
+    rows = told.filter("kind = 2").groupBy("sid").agg(F.max("second").alias("size")).toArrow()
+    keys, size = rows["sid"].to_numpy().view(U), rows["size"].to_numpy()
+    order = np.argsort(keys)
+    keys, size = keys[order], size[order]
+    if not len(keys):
+        return Hot(keys, size)
+    held = entries.sparkSession.sparkContext.broadcast(keys)
 
-    dealt = entries.select("sid", "n", "score", "label", "keys", "probe", "bits").mapInArrow(deal, "bucket int, heads binary, keys binary, probe binary, bits array<binary>")
-    step = star_rays if kind == "star" else cross_pairs
-    found = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(step, "x long, y long, n long")
-    return found.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            probed = np.concatenate([np.frombuffer(k, U)[np.frombuffer(p, bool)] for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            probed = np.unique(probed)
+            yield pa.RecordBatch.from_arrays([pa.array(probed[np.isin(probed, held.value)].view(np.int64))], ["key"])
+
+    probed = entries.select("keys", "probe").mapInArrow(run, "key long").distinct().toArrow()["key"].to_numpy().view(U)
+    return Hot(keys, np.where(np.isin(keys, probed), -(-size // group), 0))
 
 
 # -------------------------------------------------------------- verification
 
 
 def token_sets(scratch: Scratch, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, set, bits: sorted shingle hashes of the wanted(doc_id, sid), from their whole texts, and their parity map.
+    """id, rep, set, bits: sorted shingle hashes of the wanted(id, rep, sid, second, some_id), from their whole texts, and their parity map.
 
-    A bit table of the wanted ids spares the shuffle most other texts.
+    A bit table of the wanted ids spares most other texts the work; sets are
+    joined by name, so ids that repeat or are null make no difference.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in slices(batches):
-            sids, texts = batch.column(0), batch.column(1).to_pylist()
-            got = [(i, s[2].tobytes(), parities(s[2])) for i, t in enumerate(texts) if (s := shingles(t))[0] == sids[i].as_py()]
-            yield pa.RecordBatch.from_arrays([sids.take(pa.array([g[0] for g in got], pa.int64())), *[pa.array([g[i] for g in got], pa.binary()) for i in (1, 2)]], ["sid", "set", "bits"])
+            got = []
+            for text in batch.column(0).to_pylist():
+                sid, second, h = shingles(text)
+                if len(h) and (sid, second) not in seen:
+                    seen.add((sid, second))
+                    got.append((sid, second, h.tobytes(), parities(h)))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["sid", "second", "set", "bits"])
 
-    bits = scratch.cut(bit_table(wanted, F.xxhash64("doc_id")), "bits").scalar()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").filter(in_bits(bits, F.xxhash64("doc_id"))).join(wanted.select("doc_id", "sid").hint("merge"), "doc_id")
-    # Repeated ids may bring other texts along; the name of the text decides. A set that comes twice does no harm.
-    return rows.select("sid", "text").mapInArrow(run, "sid long, set binary, bits binary")
+    bits = scratch.cut(bit_table(wanted, F.xxhash64("some_id")), "bits").scalar()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").filter(in_bits(bits, F.xxhash64("doc_id")))
+    sets = rows.select("text").mapInArrow(run, "sid long, second long, set binary, bits binary")
+    # Tasks that met the same text each brought its set.
+    return sets.join(wanted.select("sid", "second", "id", "rep"), ["sid", "second"]).dropDuplicates(["sid", "second"]).select("id", "rep", "set", "bits")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) that link: 100 * intersection >= 75 * union."""
+    """u, v: the pairs (x, y) that link, 100 * intersection >= 75 * union, as nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 p, q = np.frombuffer(a, U), np.frombuffer(b, U)
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.searchsorted(q, p)
                 both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
                 keep.append(4 * both >= 3 * (len(p) + len(q) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("sid").alias("x"), F.col("set").alias("a"))
-    two = sets.select(F.col("sid").alias("y"), F.col("set").alias("b"))
-    return pairs.select("x", "y").join(two, "y").join(one, "x").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+    one = sets.select(F.col("id").alias("x"), F.col("rep").alias("xr"), F.col("set").alias("a"))
+    two = sets.select(F.col("id").alias("y"), F.col("rep").alias("yr"), F.col("set").alias("b"))
+    found = pairs.select("x", "y").join(two, "y").join(one, "x").select("x", "xr", "y", "yr", "a", "b").mapInArrow(run, "x long, xr long, y long, yr long")
+    return found.select(node("x", "xr").alias("u"), node("y", "yr").alias("v"))
+
+
+def node(id_: str, rep: str) -> Column:
+    """A set as a node: sets with an id come first, by the least one; so a component's least node bears its least id."""
+    return F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(id_).alias("id"))
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """node, label: the least node of each component, for all nodes of links(x, y).
+    """id, label, component_id: of all nodes of links(u, v), the least node of the component, its own id and the document's.
 
     Alternating stars: each node's larger neighbours move to its least one, then
     its smaller ones do. Minima are pre-aggregated, hot nodes are split by the
     joins; the number of rounds is logarithmic.
     """
-    edges = scratch.cut(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = scratch.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -558,59 +754,70 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         edges = new
         if same:
             break
-    out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return scratch.cut(out.unionByName(out.select(F.col("label").alias("node"), "label").distinct()), "components")
+    out = edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct())
+    out = scratch.cut(out.select(F.col("u.id").alias("id"), F.col("v.id").alias("label"), F.col("v.rep").alias("component_id")), "components")
+    scratch.drop(edges)
+    return out
 
 
-def similarity_components(spark: SparkSession, docs: DataFrame, coarse: int = 1) -> DataFrame:
+def similarity_components(spark: SparkSession, docs: DataFrame, coarse: int = 1, slice_bytes: int = BYTES_A_SLICE, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
     coarse: divides the number of segments; the bands where that is too few switch.
+    slice_bytes: text whose signatures a task holds at a time. group: sets in one
+    group at a time; larger groups are worked on in chunks.
 
     Null and wordless texts have no shingles and are components of their own.
-    Equal word sequences are one set. The component of rows that have only null
-    ids is null. An empty table gives an empty result; other columns are ignored.
+    Equal word sequences are one set, whatever ids they come under; so repeated
+    ids and rows are counted each, and the component of rows that have only null
+    ids is null. A very long text is one row of one task. An empty table gives an
+    empty result; other columns are ignored, whatever their names.
     """
     with narrow(spark):
-        return _components_of(spark, docs, coarse)
+        return _components_of(spark, docs, coarse, slice_bytes, group)
 
 
-def _components_of(spark: SparkSession, docs: DataFrame, coarse: int) -> DataFrame:
+def _components_of(spark: SparkSession, docs: DataFrame, coarse: int, slice_bytes: int, group: int) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
-    buckets = partitions_for(docs, BYTES_A_PARTITION, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parted = partitions_for(docs, BYTES_A_PAIR_PARTITION, LEAST_PAIR_PARTITIONS)
-    told = scratch.cut(count_groups(index(docs, buckets, None, coarse), buckets), "counted")
+    volume = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = Parts.of(volume, slice_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pair_parts = Parts.of(volume, slice_bytes * BYTES_A_PAIR_SLICE // BYTES_A_SLICE, LEAST_PAIR_SLICES)
+    group = max(group, volume // HOT_SHARE)
+    told = scratch.cut(count_groups(index(docs, parts, None, coarse), parts, group), "counted")
     scratch.release()
     facts = told.filter("kind = 0").select("doc_id", "sid", "second", "n", "spare0", "spare1")
-    # Equal sets become one; ids are summed up before the shuffle, so hot copies are no hot keys.
-    sets = facts.filter("n > 0").groupBy("sid").agg(
-        F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("rep"), F.min("doc_id").alias("some_id"), F.max("n").alias("n"),
-        F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"), F.min("second").alias("s0"), F.max("second").alias("s1"),
+    # Equal sets become one; ids are summed up before the shuffle, so hot copies are no hot keys. A name has 127 bits; a set's short id is its place in this table.
+    sets = facts.filter("n > 0").groupBy("sid", "second").agg(
+        F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("rep"), F.min("doc_id").alias("some_id"), F.max("n").alias("n"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"),
     )
-    sets = scratch.cut(sets.select("sid", "rep", "some_id", "n", "spare0", "spare1", F.when(F.col("s0") != F.col("s1"), F.raise_error(F.lit("two texts share a 64-bit name"))).otherwise(F.lit(0)).alias("ok")), "sets")
-    shared = told.filter("kind = 1").select("sid", "metas", "keys", "sizes")
+    sets = scratch.cut(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    shared = told.filter("kind = 1").select("sid", "second", "marks", "keys", "sizes")
     short = sets.select(F.explode(F.array(F.when(F.col("spare0") < 0, F.length(F.bin("n")) - 1), F.when(F.col("spare1") < 0, F.length(F.bin("n"))))).alias("band")).filter("band IS NOT NULL").distinct()
     bands = frozenset(int(r[0]) for r in short.collect())  # at most 64
     if bands:
-        again = scratch.cut(count_groups(index(docs, buckets, bands), buckets), "counted")
-        shared = shared.unionByName(again.filter("kind = 1").select("sid", "metas", "keys", "sizes"))
+        again = scratch.cut(count_groups(index(docs, parts, bands), parts, group), "counted")
+        told = told.unionByName(again)
+        shared = shared.unionByName(again.filter("kind = 1").select("sid", "second", "marks", "keys", "sizes"))
         # What they can spare differs between the two ways; probe with everything then.
         fine = [F.length(F.bin("n")) + i for i in (-1, 0)]
-        sets = sets.withColumns({f"spare{i}": F.when(fine[i].isin(*bands), F.lit(0)).otherwise(F.col(f"spare{i}")) for i in (0, 1)})
-    least = sets.select(F.explode(F.array(*[F.struct((F.length(F.bin("n")) - 1 + i).alias("band"), F.col(f"spare{i}").alias("spare"), (F.lit(i == 0) | (F.floor(F.col("n") * 4 / 3) >= F.pow(F.lit(2), F.length(F.bin("n"))))).alias("there")) for i in (0, 1)])).alias("x")).select("x.*")
+        numbered = sets.withColumns({f"spare{i}": F.when(fine[i].isin(*bands), F.lit(0)).otherwise(F.col(f"spare{i}")) for i in (0, 1)})
+    else:
+        numbered = sets
+    least = numbered.select(F.explode(F.array(*[F.struct((F.length(F.bin("n")) - 1 + i).alias("band"), F.col(f"spare{i}").alias("spare"), (F.lit(i == 0) | (F.floor(F.col("n") * 4 / 3) >= F.pow(F.lit(2), F.length(F.bin("n"))))).alias("there")) for i in (0, 1)])).alias("x")).select("x.*")
     least = least.filter(f"there AND band >= {LARGE}").groupBy("band").agg(F.min("spare").alias("spare"))
     spared = {r["band"]: max(0, r["spare"]) for r in least.collect() if r["band"] not in bands}  # at most 64 rows
-    parts = shared.groupBy("sid").agg(F.collect_list(F.struct("metas", "keys", "sizes")).alias("parts"))  # a set's signatures, bounded by its text
-    entries = scratch.cut(allocate(parts.join(sets.select("sid", "n", "spare0", "spare1"), "sid"), spared), "entries")
+    parted = shared.groupBy("sid", "second").agg(F.collect_list(F.struct("marks", "keys", "sizes")).alias("parts"))  # a set's signatures, bounded by its text
+    entries = scratch.cut(allocate(parted.join(numbered.select("sid", "second", "id", "n", "spare0", "spare1"), ["sid", "second"]), spared), "entries")
     scratch.release()
-    wanted = entries.select("sid").join(sets.select("sid", F.col("some_id").alias("doc_id")), "sid")
+    hot = spark.sparkContext.broadcast(hot_groups(told, entries, group))
+    wanted = entries.select("id").join(sets.select("id", "rep", "sid", "second", "some_id"), "id")
     tokens = scratch.cut(token_sets(scratch, docs, wanted), "tokens")
-    labels = entries.select(F.col("sid").alias("node"), F.col("sid").alias("label"))
+    labels = entries.select("id", F.col("id").alias("label"))
     scratch.release()
     links, tried, before = None, None, 0
-    for _ in range(ROUNDS):
-        named = entries.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        found = pairs_from(named.withColumn("bits", F.lit(None).cast("binary")), parted, "star")
+    for turn in range(ROUNDS):
+        named = entries.join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        found = pairs_from(named, pair_parts, hot, turn)
         best = found.groupBy("y").agg(F.max_by("x", F.struct("n", "x")).alias("x")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         best = scratch.cut(best if tried is None else best.join(tried, ["x", "y"], "left_anti"), "best")
         scratch.release()
@@ -622,17 +829,17 @@ def _components_of(spark: SparkSession, docs: DataFrame, coarse: int) -> DataFra
         if now == before:
             break
         before = now
-    named = entries.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    rest = scratch.cut(pairs_from(named.join(tokens.select("sid", "bits").dropDuplicates(["sid"]), "sid"), parted, "all").select("x", "y").join(tried, ["x", "y"], "left_anti"), "rest")
+    named = entries.join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = scratch.cut(pairs_from(named.join(tokens.select("id", "bits"), "id"), pair_parts, hot, None).select("x", "y").join(tried, ["x", "y"], "left_anti"), "rest")
     links = scratch.cut(links.unionByName(verify(rest, tokens)), "links")
-    scratch.drop(tokens, rest)
-    final = components(scratch, links).withColumnRenamed("node", "sid")
+    scratch.drop(tokens, rest, entries)
+    final = components(scratch, links).select("id", "component_id", F.lit(True).alias("linked"))
     scratch.release()
-    named = sets.select("sid", "rep").join(final, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_set = scratch.cut(named.join(least, "label").select("sid", "component_id"), "of_set")
+    of_set = sets.join(final, "id", "left").select("sid", "second", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    of_set = scratch.cut(of_set, "of_set")
     real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    return facts.join(of_set, "sid", "left").select(real.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, real).otherwise(F.col("component_id")).alias("component_id"))
+    # A text in very many rows is a hot key here; Spark splits the rows' side of such a join at run time.
+    return facts.join(of_set, ["sid", "second"], "left").select(real.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, real).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -643,8 +850,31 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "kept")
     found = scratch.cut(similarity_components(spark, docs).select(F.col("doc_id").alias("_d"), F.col("component_id").alias("_c")), "found")
-    repeated = not found.groupBy("_d").count().filter("count > 1").isEmpty()
-    kept = found.filter("_d <=> _c").select("_d").distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_t"))
-    rows = rows.join(kept.hint("merge"), F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
-    return (rows.dropDuplicates(["_id", "_t"]) if repeated else rows).select("_row.*")
+    by_id = scratch.cut(found.groupBy("_d").agg(F.count("*").alias("n"), F.bool_or(F.expr("_d <=> _c")).alias("kept")).filter("n > 1 OR NOT kept"), "by_id")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    rows = docs.select(row, docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_t"))
+    # Only rows that an id's mark may concern are shuffled.
+    marked, clear = touched(scratch, rows, F.col("_id").cast("long"), by_id.select("_d"))
+    marked = marked.join(by_id, F.col("_id").cast("long").eqNullSafe(F.col("_d")), "left").filter("coalesce(kept, true)")
+    return clear.select("_row.*").unionByName(marked.dropDuplicates(["_id", "_t"]).select("_row.*"))
+
+
+#: DuckDB text: all pairs that share a shingle, exact similarity, reachability.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), r AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id
+)
+SELECT documents.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN r ON r.doc_id = documents.doc_id GROUP BY documents.doc_id
+"""

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_ledger": quality.ORACLE, "op2_warc_chain": warc.ORACLE, "op3_chat_format": chat.ORACLE, "op8_line_windows": lines.ORACLE, "op9_simhash_leaks": decontaminate.ORACLE}
+    return {"op1_quality_ledger": quality.ORACLE, "op2_warc_chain": warc.ORACLE, "op3_chat_format": chat.ORACLE, "op5_jaccard_join": jaccard.ORACLE, "op8_line_windows": lines.ORACLE, "op9_simhash_leaks": decontaminate.ORACLE}

@@ -227,6 +227,48 @@ def test_jaccard_band_without_enough_units_switches(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_jaccard_in_small_slices_and_chunks(spark, monkeypatch):
+    """One passage in every document, a thousand null ids, slices of a few texts, and groups of more than 20 sets in chunks."""
+    monkeypatch.setattr(jaccard, "MOST_PARTITIONS", 5)
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, f"{passage} {t}" if t else t) for i, t in edited(9, 60)]
+    # Texts that are little more than the passage have no dearer signatures to spare: they probe the hot groups.
+    rows += [(len(rows) + i, passage + "".join(f" z{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 3, 8])))) for i in range(150)]
+    want, links = components_by_brute_force(rows)
+    assert links > 500
+    nulls = [(None, f"{passage} n{i % 500} m{i % 500} " + " ".join(f"o{i % 500}x{j}" for j in range(30))) for i in range(1000)]
+    df = spark.createDataFrame(rows + nulls, "doc_id long, text string").repartition(3)
+    got = jaccard.similarity_components(spark, df, slice_bytes=3000, group=20).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert [r.component_id for r in got if r.doc_id is None] == [None] * 1000
+
+
+def test_jaccard_parts_cover_all_slices(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "MOST_PARTITIONS", 7)
+    p = jaccard.Parts.of(10_000, 100, 2)
+    assert (p.n, p.subs) == (7, 15) and jaccard.Parts.of(0, 100, 2) == jaccard.Parts(2, 1)
+    keys = jaccard.mix(np.arange(1, 20_000, dtype=np.uint64))
+    assert set(p.part(keys).tolist()) == set(range(7)) and set(p.sub(keys).tolist()) == set(range(15))
+
+
+def test_jaccard_chunks_meet_each_other_once():
+    import numpy as np
+
+    n = 40
+    pack = jaccard.Pack(np.stack((np.arange(n), *[np.ones(n, int)] * 4)), np.full(n, 77, np.uint64), np.ones(n, np.int32), [])
+    tiles = jaccard.spread(pack, jaccard.Hot(np.array([77], np.uint64), np.array([4])), None)
+    met = collections.Counter()
+    for k in set(tiles.keys.tolist()):
+        at = np.flatnonzero(tiles.keys == k)
+        who, side = tiles.which()[at], tiles.marks[at] & 6
+        met.update((int(a), int(b)) for a, p in zip(who, side) for b, q in zip(who, side) if a < b and (p != q or p == 0))
+    assert met == collections.Counter((a, b) for a in range(n) for b in range(a + 1, n))
+    assert jaccard.spread(pack, jaccard.Hot(np.array([77], np.uint64), np.array([0])), None).heads[-1].sum() == 0
+
+
 def test_signatures_of_similar_sets_meet():
     import numpy as np
 
