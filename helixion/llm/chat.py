@@ -57,29 +57,26 @@ CHATML = Template()
 def format_chats(chats: DataFrame, template: Template = CHATML) -> DataFrame:
     """conv_id, formatted, loss_spans: [start, end) code points of the texts to be learned, in order.
 
-    chats: conv_id, turn, role, text; other columns are ignored. Turns are in
-    order of turn (nulls first), ties by role and text, repeated rows stay.
-    Null roles and texts are empty. Null ids form one conversation. No rows, no
-    result. A conversation is one output string, so its rows meet in one task;
-    that is the operator's result and not a group that could be split.
+    chats: conv_id, turn, role, text; other columns are ignored, whatever their
+    names. Turns are in order of turn (nulls first), ties by role and text as
+    they are, repeated rows stay. Null roles and texts are empty, an empty text
+    is an empty turn. Null ids form one conversation. No rows, no result. A
+    conversation is one output string, so its rows meet in one task, however
+    long its texts; that is the operator's result and not a group that could be
+    split.
     """
-    rows = chats.select(
-        "conv_id", "turn",
-        template.escape_role(F.coalesce("role", F.lit(""))).alias("role"),
-        template.escape(F.coalesce("text", F.lit(""))).alias("text"),
-        F.coalesce("role", F.lit("")).isin(*template.loss_roles).alias("loss"),
-    )
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "loss"))).alias("_turns"))
+    rows = chats.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_turns"))
 
     def piece(t: Column, j: Column) -> Column:
         """What stands before the text of turn j, the text, and what stands after it."""
         opens = F.coalesce(F.get("_turns", j - 1)["role"] != t["role"], F.lit(True))
         closes = F.coalesce(F.get("_turns", j + 1)["role"] != t["role"], F.lit(True))
         return F.struct(
-            F.when(opens, F.concat(F.lit(template.start), t["role"], F.lit("\n"))).otherwise(F.lit(template.part)).alias("before"),
-            t["text"].alias("text"),
+            F.when(opens, F.concat(F.lit(template.start), template.escape_role(t["role"]), F.lit("\n"))).otherwise(F.lit(template.part)).alias("before"),
+            template.escape(t["text"]).alias("text"),
             F.when(closes, F.lit(template.end + "\n")).otherwise(F.lit("")).alias("after"),
-            t["loss"].alias("loss"),
+            t["role"].isin(*template.loss_roles).alias("loss"),
         )
 
     pieces = sorted_turns.select("conv_id", F.transform("_turns", piece).alias("_pieces"))
@@ -98,8 +95,8 @@ def format_chats(chats: DataFrame, template: Template = CHATML) -> DataFrame:
     )
 
 
-def parse_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """conv_id, turns: array of (role, text), read back from the formatted string alone."""
+def parsed_turns(template: Template = CHATML) -> Column:
+    """Array of (role, text), read back from the column ``formatted`` alone."""
     blocks = F.filter(F.split("formatted", re.escape(template.end + "\n")), lambda b: b != "")
 
     def turns(b: Column) -> Column:
@@ -108,17 +105,29 @@ def parse_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         body = b.substr(F.length(head) + 2, F.length(b))
         return F.transform(F.split(body, re.escape(template.part)), lambda p: F.struct(role.alias("role"), template.unescape(p).alias("text")))
 
-    return formatted.select("conv_id", F.flatten(F.transform(blocks, turns)).alias("turns"), "formatted")
+    return F.flatten(F.transform(blocks, turns))
+
+
+def parse_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
+    """conv_id, turns: array of (role, text)."""
+    return formatted.select("conv_id", parsed_turns(template).alias("turns"))
+
+
+def masked_text(formatted: DataFrame, template: Template = CHATML) -> Column:
+    """All text under the loss mask, cut out of the formatted string and unescaped span by span."""
+    text = formatted["formatted"]
+    return F.array_join(F.transform(formatted["loss_spans"], lambda s: template.unescape(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
 def digest(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """conv_id and what the formatted string holds, as counts and SHA-256 sums."""
-    back = parse_chats(formatted, template)
-    told = back.select(
+    """conv_id and what the formatted string and its loss mask hold, as counts and SHA-256 sums."""
+    masked = formatted.select("conv_id", "formatted", masked_text(formatted, template).alias("_loss"))
+    # Exploded as one element, so that the turns are parsed once.
+    told = masked.select("conv_id", "formatted", "_loss", F.explode(F.array(parsed_turns(template))).alias("turns")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("_all"),
-        F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*template.loss_roles)), lambda t: t["text"]), "").alias("_loss"),
+        "_loss",
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
     return told.select("conv_id", "n_turns", F.sha2("_all", 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars")
