@@ -3,13 +3,15 @@
 Texts are lower-cased, runs of anything but letters become one space, and the
 1- to 3-grams of code points are hashed to BUCKETS features. Counts of a
 bounded sample give a log-probability matrix (languages x BUCKETS), which is
-broadcast; scoring multiplies each text's sparse counts with it in numpy.
+broadcast in blocks of BLOCK_LANGS languages; scoring multiplies each text's
+sparse counts with it in numpy, block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices
+from .common import Scratch
 
 BUCKETS = 1 << 14
-#: Bounds of the fit: about this many labelled documents, chosen by a hash of their ids over the whole table, and this many languages.
+#: Bound of the fit: about this many labelled documents, chosen by a hash of id and text over the whole table. All their languages are learned.
 TRAIN_DOCS = 20_000
-MAX_LANGS = 512
+#: Languages in one matrix: 64 MB.
+BLOCK_LANGS = 512
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -70,57 +74,103 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: (score of the best language, that language, sum of the likelihoods of all so far over the best one's)
+Best = tuple[float, str | None, float]
+NOTHING: Best = (-np.inf, None, 0.0)
+
+
 @dataclass
-class Model:
+class Block:
+    """Some of the languages: their log priors, and log-probabilities by bucket."""
+
     langs: list[str]
     prior: np.ndarray
     logp: np.ndarray
 
-    def score(self, f: np.ndarray | None) -> tuple[str, float]:
-        if f is None or not self.langs:
-            return UNKNOWN, 0.0
+    def better(self, f: np.ndarray | None, so_far: Best) -> Best:
+        if f is None:
+            return so_far
         n = np.bincount(f, minlength=BUCKETS)
         at = np.flatnonzero(n)
         s = self.prior + n[at] @ self.logp[at]
-        best = int(np.argmax(s))
-        return self.langs[best], float(1 / np.exp(s - s[best]).sum())
+        i = int(np.argmax(s))
+        before, lang, others = so_far
+        best = max(before, float(s[i]))
+        total = others * np.exp(before - best) + np.exp(s - best).sum()
+        return best, self.langs[i] if s[i] > before else lang, float(total)
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_langs: int = MAX_LANGS) -> Model:
+def verdict(best: Best) -> tuple[str, float]:
+    """(language, its share of all likelihoods)."""
+    return (UNKNOWN, 0.0) if best[1] is None else (best[1], 1 / best[2])
+
+
+@dataclass
+class Model:
+    blocks: list[Block]
+
+    def score(self, f: np.ndarray | None) -> tuple[str, float]:
+        return verdict(reduce(lambda best, b: b.better(f, best), self.blocks, NOTHING))
+
+
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, block_langs: int = BLOCK_LANGS) -> Model:
     """A model of labelled(doc_id, text, lang), fitted on about train_docs of its rows.
 
-    The sample takes a share of ids by their hash, over all of the table. The
-    driver gets at most max_langs x BUCKETS counts; the most frequent languages
-    of the sample are learned, ties by name. Nothing labelled: an empty model.
+    The sample takes a share of rows by a 64-bit hash of id and text, over all
+    of the table; null and repeated ids are drawn by their texts, and rows that
+    repeat both stand once, so they can't swell it. All its languages are
+    learned, in order of name; the driver holds one block's counts at a time.
+    Nothing labelled: an empty model.
     """
     rows = labelled.filter("lang IS NOT NULL")
+    scratch = Scratch(labelled.sparkSession, "language")
     share = min(1.0, train_docs / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    counts = sample.select("lang", "text").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    top = counts.filter("bucket = -1").orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    got = counts.join(top, "lang", "left_semi").toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
-    row = {x: i for i, x in enumerate(langs)}
-    i, b, n = np.array([row[x] for x in got["lang"].to_pylist()], int), got["bucket"].to_numpy(), got["n"].to_numpy()
-    seen, docs = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
-    seen[b[b >= 0], i[b >= 0]] = n[b >= 0]
-    docs[i[b < 0]] = n[b < 0]
-    seen += SMOOTHING
-    return Model(langs, np.log(docs / max(1, docs.sum())) if langs else docs, np.log(seen / seen.sum(axis=0)) if langs else seen)
+    drawn = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("u"))
+    if share < 1:
+        drawn = drawn.filter(F.col("u") < int((2 * share - 1) * (1 << 63)))
+    sample = drawn.dropDuplicates(["u", "lang"])
+    counts = scratch.cut(sample.select("lang", "text").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    docs = {r["lang"]: r["n"] for r in counts.filter("bucket = -1").collect()}  # at most a row a sampled document
+    langs, total, blocks = sorted(docs), sum(docs.values()), []
+    for a in range(0, len(langs), block_langs):
+        own = langs[a : a + block_langs]
+        row = {x: i for i, x in enumerate(own)}
+        got = counts.filter((F.col("lang") >= own[0]) & (F.col("lang") <= own[-1]) & (F.col("bucket") >= 0)).toArrow()
+        seen = np.full((BUCKETS, len(own)), SMOOTHING)
+        seen[got["bucket"].to_numpy(), [row[x] for x in got["lang"].to_pylist()]] += got["n"].to_numpy()
+        blocks.append(Block(own, np.log(np.array([docs[x] for x in own]) / total), np.log(seen / seen.sum(axis=0))))
+    scratch.drop(counts)
+    return Model(blocks)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score; null texts and texts without letters are und with score 0."""
-    shared = spark.sparkContext.broadcast(model)
-    fields = [f for f in docs.select(*keep).schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in slices(batches):
-            got = [m.score(features(t)) for t in batch.column(len(fields)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(fields))], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+    """The columns ``keep`` with lang_pred and score, one row per row of docs, repeated ones too.
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "lang_pred string", "score double"]))
+    Null texts, texts without letters and an empty model give und with score 0;
+    a very long text is scored whole; ties go to the first language by name. No
+    rows, no result. Other columns are ignored, whatever their names.
+    """
+    fields = [f for f in docs.select(*keep).schema]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    out = docs.select(*keep, F.col("text").alias("_text"), F.lit(NOTHING[0]).alias("_best"), F.lit(None).cast("string").alias("_lang"), F.lit(NOTHING[2]).alias("_sum"))
+    names, k = [*keep, "_text", "_best", "_lang", "_sum"], len(fields)
+
+    def scorer(block: Block):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                so_far = zip(*[batch.column(i).to_pylist() for i in (k + 1, k + 2, k + 3)], strict=True)
+                got = [shared.value.better(features(t), x) for t, x in zip(batch.column(k).to_pylist(), so_far, strict=True)]
+                last = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(k + 1)], *last], names)
+
+        return run
+
+    for block in model.blocks:
+        out = out.mapInArrow(scorer(block), ", ".join([*kept, "_text string, _best double, _lang string, _sum double"]))
+    found = F.col("_lang").isNotNull()
+    return out.select(*keep, F.when(found, F.col("_lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(found, 1 / F.col("_sum")).otherwise(0.0).alias("score"))
 
 
 def op6(spark: SparkSession, documents: DataFrame) -> DataFrame:
