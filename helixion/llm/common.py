@@ -81,6 +81,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
+def beside(df: DataFrame, *added: str) -> list[Column]:
+    """df's columns but those that a result adds under the same name (in any case): the added ones stand."""
+    names = {a.lower() for a in added}
+    return [df[c] for c in df.columns if c.lower() not in names]
+
+
 #: A bit table has 2^TABLE_LOG2 words of 64 bits: 512 kB, whatever it holds.
 TABLE_LOG2 = 16
 

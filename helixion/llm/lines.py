@@ -7,10 +7,10 @@ overlapping marks merge, and the unmarked lines stay. Built-in expressions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, beside, touched
 
 LINES = 3
 
@@ -40,25 +40,32 @@ def dedup_lines(scratch: Scratch, docs: DataFrame, name: str = "clean") -> DataF
 
     Null texts stay null, with no lines. Texts under three lines have no window
     and stay. Windows without a word never repeat. Ties are impossible: the
-    first is by id (null first), text hash and position.
+    first is by id (null first), text hash and position; rows that repeat id and
+    text are one document and fare alike. A very long text is one row of one
+    task. An empty table stays empty. Columns of docs that have the name of an
+    added one are replaced by it.
     """
-    keyed = _keyed(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"], docs["text"]))
+    added = (name, "n_lines", "n_removed")
+    keyed = _keyed(docs.select(F.struct(*beside(docs, *added)).alias("_row"), docs["doc_id"], docs["text"]))
     marks = repeated_positions(scratch, keyed)
-    # Texts are shuffled by document at every size, once and without the arrays made of them.
-    out = keyed.drop("_lines").join(marks.hint("merge"), ["_k", "_t"], "left").withColumn("_lines", F.split("text", "\n"))
+    key = F.xxhash64("_k", "_t")
+    may, clear = touched(scratch, keyed.drop("_lines"), key, marks.select(key.alias("m")))
+    # Only texts with a mark, and few others, are shuffled; without the arrays made of them.
+    may = may.join(marks, ["_k", "_t"], "left").withColumn("_lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("marked", F.array().cast("array<int>")))
     kept = F.when(F.col("marked").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    return out.select(
-        "_row.*",
-        kept.alias(name),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("marked"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+
+    def told(rows: DataFrame, text: Column, removed: Column) -> DataFrame:
+        n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+        return rows.select("_row.*", text.alias(added[0]), n.alias(added[1]), removed.cast("long").alias(added[2]))
+
+    return told(clear, F.col("text"), F.lit(0)).unionByName(told(may, kept, F.coalesce(F.size("marked"), F.lit(0))))
 
 
 def op8(spark, documents: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, clean_md5 (null for a null text) of every row."""
     out = dedup_lines(Scratch(spark, "lines"), documents.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.greatest(F.lit(0), "n_removed").cast("long").alias("n_removed"), F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
 
 
 ORACLE = r"""
@@ -77,4 +84,5 @@ w AS (
   FROM x LEFT JOIN m ON x.doc_id = m.doc_id AND x.i = m.i GROUP BY x.doc_id
 )
 SELECT doc_id, n_lines, n_removed, md5(clean) AS clean_md5 FROM k
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
