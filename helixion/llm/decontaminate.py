@@ -2,13 +2,17 @@
 
 For each item of w words, windows of w words of a document are fingerprinted
 with a 64-bit SimHash of their words. A document of fewer words, but a shingle
-at least, is one window: its whole text. Fingerprints are cut into RADIUS + 1
-blocks; two that differ in at most RADIUS bits agree in a block (pigeonhole),
-so an equality join on (w, block number, block) finds every pair within the
-radius. Similar texts can lie beyond it, so windows and items are also joined by
-shingles: of a window's k shingle places, need() at least are shared, so any
-k - need() + 1 places hold a shingle of the item. Candidates are verified by their weighted 5-word shingles: sum of the
-smaller over sum of the larger multiplicities, 0.75 or more.
+at least, is one window: its whole text. Fingerprints are cut into BLOCKS blocks
+of 16 bits; if two differ in at most RADIUS bits, some block differs in at most
+NEAR (pigeonhole). So items are indexed under every value within NEAR bits of
+each of their blocks, windows look up their blocks as they are, and an equality
+join on (w, block number, value) finds every pair within the radius. Windows of
+equal words are one window here, however many documents hold them. Similar texts
+can lie beyond the radius, so windows and items are also joined by shingles: of
+a window's k shingle places, need() at least are shared, so any k - need() + 1
+places hold a shingle of the item. Candidates are verified by their weighted
+5-word shingles: sum of the smaller over sum of the larger multiplicities, 0.75
+or more.
 
 Windows that can't reach that similarity are left out before fingerprinting,
 which loses nothing: a window similar enough to an item of w words has at least
@@ -21,13 +25,17 @@ documents are neither exploded nor shuffled. Built-in expressions only.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIN_SIMILARITY_PERCENT, SHINGLE_WORDS, Scratch, bit_table, in_bits, words
+from .common import MIN_SIMILARITY_PERCENT, SHINGLE_WORDS, Scratch, bit_table, in_bits, touched, words
 
 BITS = 64
-RADIUS = 16
+BLOCKS, NEAR = 4, 3
+WIDTH = BITS // BLOCKS
+RADIUS = BLOCKS * (NEAR + 1) - 1
 
 
 def word_hashes(text: Column) -> Column:
@@ -49,14 +57,33 @@ def simhash(h: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 
-def blocks(h: Column) -> Column:
-    """(number, value) of the RADIUS + 1 blocks of a fingerprint, sizes at most one apart."""
-    n, out, at = RADIUS + 1, [], 0
-    for i in range(n):
-        width = BITS // n + (i < BITS % n)
-        out.append(F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1)).alias("v")))
-        at += width
-    return F.array(*out)
+def blocks(h: Column) -> list[Column]:
+    """The values of a fingerprint's blocks."""
+    return [F.shiftrightunsigned(h, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1)) for i in range(BLOCKS)]
+
+
+def lookups(h: Column) -> Column:
+    """(number, value) of each block."""
+    return F.array(*[F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in enumerate(blocks(h))])
+
+
+def postings(h: Column) -> Column:
+    """(number, value) for all values within NEAR bits of each block."""
+    flips = [sum(1 << i for i in c) for k in range(NEAR + 1) for c in itertools.combinations(range(WIDTH), k)]
+    flips = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>")  # a constant of few nodes
+
+    def around(i: int, value: Column) -> Column:
+        return F.transform(flips, lambda x: F.struct(F.lit(i).alias("b"), value.bitwiseXOR(x).alias("v")))
+
+    return F.flatten(F.array(*[around(i, v) for i, v in enumerate(blocks(h))]))
+
+
+def first_near_block(x: Column) -> Column:
+    """Number of the first block in which a difference of fingerprints has at most NEAR bits."""
+    out = F.lit(None).cast("int")
+    for i, v in reversed(list(enumerate(blocks(x)))):
+        out = F.when(F.bit_count(v) <= NEAR, i).otherwise(out)
+    return out
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
@@ -88,12 +115,15 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
 
     One row per (doc_id, item_id): the most similar window, then the first. A
     document shorter than an item is compared with it as a whole.
-    start counts words from 0. Texts are lower-cased. Null or short texts and an
-    empty benchmark give no rows; documents sharing an id are examined each and
-    reported under the id; a null id is reported as null.
+    start counts words from 0. Texts are lower-cased. Null texts, texts and items
+    without a shingle, an empty table and an empty benchmark give no rows;
+    documents sharing an id are examined each and reported under the id; a null
+    id is reported as null. Items that repeat an id are one item, the most
+    similar text of which stands. A very long text is searched whole, in one
+    row. Other columns are ignored, whatever their names.
     """
-    items = scratch.cut(items_of(benchmark), "items")
-    places = scratch.cut(items.select("w", F.explode("s").alias("s")).distinct(), "places")
+    items = scratch.cut(items_of(benchmark).select("item_id", "w", "s", simhash(F.col("h")).alias("g")), "items")
+    places = items.select("w", F.explode("s").alias("s")).distinct()
     table = scratch.cut(bit_table(places.select("s").distinct(), F.col("s")), "table")
     bits = table.scalar()
     d = docs.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), word_hashes(F.col("text")).alias("h"))
@@ -117,27 +147,31 @@ def find_leaks(spark: SparkSession, scratch: Scratch, docs: DataFrame, benchmark
     whole = F.when(F.size("p") >= F.col("need"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     runs = runs.withColumn("need", need(F.least("n", "w"), F.col("w")))
     windows = runs.select("row", "n", "w", F.explode(F.when(F.col("n") < F.col("w"), whole).otherwise(F.flatten(F.transform("p", starts)))).alias("start"))
-    # A slice of a shorter text is all of it.
-    windows = windows.filter("start = 0 OR start + w <= n").join(found.select("row", "doc_id", "h"), "row").select("doc_id", "row", "w", "start", F.slice("h", F.col("start") + 1, F.col("w")).alias("h"))
+    # A slice of a shorter text is all of it. c, e: two hashes that name a window's words.
+    windows = windows.filter("start = 0 OR start + w <= n").join(found.select("row", "doc_id", "h"), "row").withColumn("h", F.slice("h", F.col("start") + 1, F.col("w")))
+    windows = scratch.cut(windows.select("doc_id", "w", "start", "h", F.xxhash64("h").alias("c"), F.xxhash64(F.lit(1), F.col("h")).alias("e")), "windows")
+    scratch.drop(found)
     # Few bytes, much work: dealt out by number, where sizes alone would make few tasks.
-    windows = windows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "start")
-    windows = scratch.cut(windows.withColumn("f", simhash(F.col("h"))), "windows")
-    prints = items.withColumn("f", simhash(F.col("h"))).select("item_id", "w", "s", F.col("f").alias("g"))
-    left = windows.select("doc_id", "row", "w", "start", "f", "h", F.explode(blocks(F.col("f"))).alias("k")).select("*", "k.b", "k.v").drop("k")
-    far_left = windows.withColumn("lead", leads(shingle_hashes(F.col("h")), need(F.size("h"), F.col("w")))).select("*", F.explode("lead").alias("v"))
-    far_right = prints.select("item_id", "w", "g", "s", F.explode(F.array_distinct("s")).alias("v"))
-    right = prints.select("item_id", "w", "g", "s", F.explode(blocks(F.col("g"))).alias("k")).select("*", "k.b", "k.v").drop("k")
-    near = left.join(right, ["w", "b", "v"]).withColumn("x", F.col("f").bitwiseXOR(F.col("g"))).withColumn("distance", F.bit_count("x").cast("int")).filter(F.col("distance") <= RADIUS)
-    # A pair that agrees in several blocks is kept where it first does.
-    agree = F.array_position(F.transform(blocks(F.col("x")), lambda k: k["v"] == 0), True) - 1
-    near = near.filter(F.col("b") == agree).select("doc_id", "item_id", "start", "distance", "h", "s")
-    far = far_left.join(far_right, ["w", "v"]).withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).cast("int")).filter(F.col("distance") > RADIUS)
+    each = windows.groupBy("w", "c", "e").agg(F.first("h").alias("h")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c", "e")
+    each = scratch.cut(each.select("w", "c", "e", "h", simhash(F.col("h")).alias("f")), "fingerprints")
+    left = each.select("w", "c", "e", "f", F.explode(lookups(F.col("f"))).alias("k")).select("w", "c", "e", "f", "k.b", "k.v")
+    right = items.select("item_id", "w", "g", F.explode(postings(F.col("g"))).alias("k")).select("item_id", "w", "g", "k.b", "k.v")
+    differ = F.col("f").bitwiseXOR(F.col("g"))
+    near = left.join(right, ["w", "b", "v"]).withColumn("x", differ).withColumn("distance", F.bit_count("x").cast("int"))
+    # A pair that is near in several blocks is kept where it first is.
+    near = near.filter((F.col("distance") <= RADIUS) & (F.col("b") == first_near_block(F.col("x")))).select("w", "c", "e", "item_id", "distance")
+    far_left = each.withColumn("lead", leads(shingle_hashes(F.col("h")), need(F.size("h"), F.col("w")))).select("w", "c", "e", "f", "lead", F.explode("lead").alias("v"))
+    far_right = items.select("item_id", "w", "g", "s", F.explode(F.array_distinct("s")).alias("v"))
+    far = far_left.join(far_right, ["w", "v"]).withColumn("distance", F.bit_count(differ).cast("int")).filter(F.col("distance") > RADIUS)
     # Here too, by the first leading shingle that the item has.
     first = F.get(F.filter("lead", lambda x: F.array_contains("s", x)), F.lit(0))
-    far = far.filter(F.col("v") == first).select("doc_id", "item_id", "start", "distance", "h", "s")
-    near = near.unionByName(far).select("doc_id", "item_id", "start", "distance", weighted_similarity(shingle_hashes(F.col("h")), F.col("s")).alias("m"))
-    near = near.select("doc_id", "item_id", F.explode(F.array(F.struct(F.col("m.low").alias("low"), F.col("m.high").alias("high"), "start", "distance"))).alias("m"))
-    leaks = near.filter(f"100 * m.low >= {MIN_SIMILARITY_PERCENT} * m.high")
+    far = far.filter(F.col("v") == first).select("w", "c", "e", "item_id", "distance")
+    met = near.unionByName(far).join(each.select("w", "c", "e", "h"), ["w", "c", "e"]).join(items.select("item_id", "w", "s"), ["item_id", "w"])
+    met = met.select("w", "c", "e", "item_id", "distance", weighted_similarity(shingle_hashes(F.col("h")), F.col("s")).alias("m"))
+    # One element exploded: the filter stays above the measure, else it would be computed in each condition.
+    met = met.select("w", "c", "e", F.explode(F.array(F.struct("item_id", "distance", F.col("m.low").alias("low"), F.col("m.high").alias("high")))).alias("m"))
+    alike = met.filter(f"100 * m.low >= {MIN_SIMILARITY_PERCENT} * m.high")
+    leaks = windows.select("doc_id", "w", "start", "c", "e").join(alike, ["w", "c", "e"]).select("doc_id", F.col("m.item_id").alias("item_id"), F.struct("m.low", "m.high", "start", "m.distance").alias("m"))
     best = leaks.groupBy("doc_id", "item_id").agg(F.min_by("m", F.struct((-F.col("m.low") / F.col("m.high")).alias("a"), F.col("m.start").alias("b"), F.col("m.high").alias("c"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.start").cast("long").alias("start"), F.col("m.low").cast("long").alias("low"), F.col("m.high").cast("long").alias("high"), F.col("m.distance").alias("distance"))
 
@@ -148,11 +182,12 @@ def op9(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> Data
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a leaked item, unchanged. Rows that share an id with a leaking one go with it."""
+    """The rows of docs without a leaked item, unchanged. Rows that share an id with a leaking one go with it; null texts stay."""
     scratch = Scratch(spark, "clean")
     leaks = scratch.cut(find_leaks(spark, scratch, docs.select("doc_id", "text"), benchmark.select("item_id", "text")).select("doc_id").distinct(), "ids")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"))
-    return rows.join(leaks, F.col("_id").eqNullSafe(F.col("doc_id")), "left_anti").select("_row.*")
+    may, clear = touched(scratch, rows, F.col("_id"), leaks)
+    return clear.select("_row.*").unionByName(may.join(leaks, F.col("_id").eqNullSafe(F.col("doc_id")), "left_anti").select("_row.*"))
 
 
 #: DuckDB text: every alignment of an item with a document by a shared shingle, without fingerprints.
@@ -169,15 +204,16 @@ WITH d AS (
   SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, ds.i - off AS start
   FROM ds JOIN bs USING (s), (SELECT unnest(range(0, 60)) AS off) WHERE off <= bs.n - 5 AND ds.i - off >= 1
 ), win AS (
-  SELECT seed.doc_id, item_id, start, n, d.w AS w FROM seed JOIN d ON seed.doc_id = d.doc_id WHERE start + n - 1 <= len(d.w)
+  SELECT seed.doc_id, item_id, start, n, n AS k, d.w AS w FROM seed JOIN d ON seed.doc_id = d.doc_id WHERE start + n - 1 <= len(d.w)
+  UNION ALL SELECT DISTINCT ds.doc_id, bs.item_id, 1, n, len(d.w), d.w FROM ds JOIN bs USING (s) JOIN d ON ds.doc_id = d.doc_id WHERE len(d.w) < n
 ), ws AS (
-  SELECT doc_id, item_id, start, n, s, count(*) AS c
-  FROM (SELECT doc_id, item_id, start, n, array_to_string(w[j:j + 4], ' ') AS s FROM (SELECT *, unnest(range(start, start + n - 4)) AS j FROM win)) GROUP BY ALL
+  SELECT doc_id, item_id, start, n, k, s, count(*) AS c
+  FROM (SELECT doc_id, item_id, start, n, k, array_to_string(w[j:j + 4], ' ') AS s FROM (SELECT *, unnest(range(start, start + k - 4)) AS j FROM win)) GROUP BY ALL
 ), bc AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL
 ), m AS (
-  SELECT ws.doc_id, ws.item_id, ws.start, ws.n, sum(least(ws.c, bc.c)) AS low FROM ws JOIN bc USING (item_id, s) GROUP BY ALL
+  SELECT ws.doc_id, ws.item_id, ws.start, ws.n, ws.k, sum(least(ws.c, bc.c)) AS low FROM ws JOIN bc USING (item_id, s) GROUP BY ALL
 ), ok AS (
-  SELECT doc_id, item_id, start - 1 AS start_word, low AS shared_weight, 2 * (n - 4) - low AS total_weight FROM m WHERE 100 * low >= 75 * (2 * (n - 4) - low)
+  SELECT doc_id, item_id, start - 1 AS start_word, low AS shared_weight, n + k - 8 - low AS total_weight FROM m WHERE 100 * low >= 75 * (n + k - 8 - low)
 )
 SELECT doc_id, item_id, start_word, shared_weight::BIGINT AS shared_weight, total_weight::BIGINT AS total_weight FROM ok
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared_weight / total_weight DESC, start_word) = 1
