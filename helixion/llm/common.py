@@ -125,3 +125,9 @@ def touched(scratch: Scratch, rows: DataFrame, key: Column, marks: DataFrame) ->
     bits = scratch.cut(bit_table(marks, F.xxhash64(marks[marks.columns[0]])), "touched").scalar()
     may = in_bits(bits, F.xxhash64(key))
     return rows.filter(may), rows.filter(~may)
+
+
+def over(sql: str, table_name: str, rows: str) -> str:
+    """A DuckDB text that begins with WITH, read over other rows under a table's name."""
+    head = "WITH RECURSIVE " if sql.lstrip().startswith("WITH RECURSIVE ") else "WITH "
+    return sql.replace(head, f"{head}{table_name} AS ({rows}), ", 1)

@@ -74,3 +74,20 @@ def byte_shards(spark: SparkSession, docs: DataFrame, n_shards: int = N_SHARDS)
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
+
+#: DuckDB text: one running sum over all rows, and CRC-32 byte by byte from a table made of its polynomial.
+ORACLE = f"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, {0xEDB88320}) ELSE a >> 1 END) AS v FROM range(256) r(i))
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + {ROW_BYTES} AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, crc
+), s AS (
+  SELECT *, (sum(size) OVER w - size)::BIGINT AS before, (sum(size) OVER ())::BIGINT AS total, row_number() OVER w AS place FROM d
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)
+), p AS (
+  SELECT *, least({N_SHARDS - 1}, (2 * before + size) * {N_SHARDS} // (2 * total))::INT AS shard FROM s
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM p
+"""
