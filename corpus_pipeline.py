@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixion.llm import decontaminate, jaccard, mixing, quality, shards
-from helixion.llm.common import Scratch, table
+from helixion.llm.common import Scratch, over, table
 
 #: The mixture gives the most frequent source one whole pass and repeats none more than this.
 MIX = mixing.Target(max_repetition=1.5, budget="cover")
@@ -46,12 +46,30 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Similarity components and the mixture's exponent are iterated: no SQL; tests hold run() against brute force.
-ORACLE_SQL = None
+#: DuckDB text of run()'s rows: each stage's text over the rows that the one before kept.
+ORACLE_SQL = f"""
+WITH stage1 AS MATERIALIZED (
+  SELECT documents.* FROM documents JOIN ({quality.ORACLE}) q ON q.doc_id = documents.doc_id WHERE q.kept
+), stage2 AS MATERIALIZED (
+  SELECT s.* FROM stage1 s JOIN ({over(jaccard.ORACLE, "documents", "SELECT * FROM stage1")}) c ON c.doc_id = s.doc_id WHERE c.component_id = s.doc_id
+), stage3 AS MATERIALIZED (
+  SELECT * FROM stage2 WHERE doc_id NOT IN (SELECT doc_id FROM ({over(decontaminate.ORACLE, "documents", "SELECT * FROM stage2")}))
+), stage4 AS MATERIALIZED (
+  SELECT s.* FROM stage3 s JOIN ({over(mixing.oracle(MIX), "documents", "SELECT * FROM stage3")}) m ON m.doc_id = s.doc_id
+)
+SELECT * FROM ({over(shards.ORACLE, "documents", "SELECT * FROM stage4")})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Nulls, empty tables and extra columns: as each operator states."""
+    """All stages over documents: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    Null and very short texts fail the quality rules. Of rows that repeat id and
+    text one stays; rows with a null id are judged like others, and near copies
+    that have only null ids all stay. Very long texts are read whole. Columns
+    beside those of documents are carried along to the last stage. An empty
+    table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
