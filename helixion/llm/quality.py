@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import Scratch, words
 
 #: Words in a window whose repetition counts.
 WINDOW = 8
@@ -142,7 +143,26 @@ def accept(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     return apply_policy(ledger(rows), policy).filter("kept").select("doc_id.*")
 
 
+def stored(scratch: Scratch, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger of docs, written once and reread: whatever policies or ablations follow never read the texts again."""
+    return scratch.cut(ledger(docs, rules), "ledger")
+
+
+def ablation_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """policy, rule, n_failed, n_only, n_kept for the rules of every policy, from one stored ledger."""
+    led = stored(Scratch(spark, "quality"), docs)
+    parts = [ablations(led, p).select(F.lit(p).alias("policy"), "rule", "n_failed", "n_only", "n_kept") for p in POLICIES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def op1(docs: DataFrame) -> DataFrame:
+    """A row for every row of docs(doc_id, text): measurements, base verdict, policy verdict and the ledger's mask.
+
+    Null and empty texts measure zero and fail ``few_words``. Ids may repeat or
+    be null; repeated rows are measured each. A very long text is one row of one
+    task, a few numbers a word. No rows, no result. Other columns are ignored,
+    whatever their names. No rule has ties to break.
+    """
     out = apply_policy(ledger(docs))
     base = F.lit(mask("base-1")).cast("long")
     return out.select(
@@ -180,3 +200,11 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
        failures & 63 = 0 AS kept, n_lines, failures, 'web-1' AS policy FROM f
 """
+
+_OF = ", ".join(f"('{p}', '{r.name}', {1 << i}, {mask(p)})" for p, names in POLICIES.items() for i, r in enumerate(RULES) if r.name in names)
+#: DuckDB text of the ablations.
+ABLATION_ORACLE = f"""
+WITH o AS ({ORACLE}), r(policy, rule, bit, mask) AS (VALUES {_OF})
+SELECT r.policy, rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures & r.mask = bit) AS n_only, count(*) FILTER (failures & mask = 0) AS n_kept
+FROM o, r GROUP BY r.policy, rule
+"""

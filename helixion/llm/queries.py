@@ -13,6 +13,7 @@ from .common import table
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_ledger": lambda s, d: quality.op1(table(s, d, "documents")),
+        "quality_ablations": lambda s, d: quality.ablation_query(s, table(s, d, "documents")),
         "op2_warc_chain": lambda s, d: warc.op2(s, table(s, d, "pages")),
         "op3_chat_format": lambda s, d: chat.op3(s, table(s, d, "conversations")),
         "op4_secret_novelty": lambda s, d: secrets.op4(table(s, d, "documents")),
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
     """None for 4 and 6, which SQL can't express; tests hold them against plain Python."""
     return {
         "op1_quality_ledger": quality.ORACLE,
+        "quality_ablations": quality.ABLATION_ORACLE,
         "op2_warc_chain": warc.ORACLE,
         "op3_chat_format": chat.ORACLE,
         "op5_jaccard_join": jaccard.ORACLE,

@@ -8,7 +8,6 @@ is an identifier or is said nearby; what doesn't is reported as ``novel``.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -111,7 +110,13 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: array of (kind, start, end, text), one row per row of docs; by start, then kind."""
+    """doc_id and spans: array of (kind, start, end, text), one row per row of docs; by start, then kind.
+
+    Null and empty texts have no spans; ids may repeat or be null, repeated rows
+    are scanned each. A very long text is scanned whole, in one task. Two kinds
+    may start at one place and are told both, in the kinds' order. No rows, no
+    result. Other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
@@ -126,17 +131,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of every row of docs."""
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"] != "novel")
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return find_secrets(docs).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"), n("novel"))
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, str]:
-    """The base columns by the contract's words, for tests."""
-    text = text or ""
-    a = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    b = [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-    c = [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-    joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted((s, KINDS.index(k), k, e) for k, s, e in a + b + c))
-    return len(a), len(b), len(c), hashlib.sha256(joined.encode()).hexdigest()
