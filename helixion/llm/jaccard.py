@@ -734,26 +734,44 @@ def node(id_: str, rep: str) -> Column:
     return F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(id_).alias("id"))
 
 
+#: Nodes whose edges are dealt over SALTS tasks: the HUBS of most edges, of at least HUB each; any other node has less than a 1 / HUBS of all ends.
+HUBS, HUB, SALTS = 1000, 100, 64
+
+
+def _join_nodes(many: DataFrame, one: DataFrame, hubs: list[int]) -> DataFrame:
+    """many(u, v) with one(u, m), which has each u once."""
+    if not hubs:
+        return many.join(one, "u")
+    hub = F.col("u.id").isin(hubs)
+    many = many.withColumn("salt", F.when(hub, F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+    one = one.withColumn("salt", F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return many.join(one, ["u", "salt"]).drop("salt")
+
+
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """id, label, component_id: of all nodes of links(u, v), the least node of the component, its own id and the document's.
 
     Alternating stars: each node's larger neighbours move to its least one, then
-    its smaller ones do. Minima are pre-aggregated, hot nodes are split by the
-    joins; the number of rounds is logarithmic.
+    its smaller ones do. Minima are pre-aggregated, the edges of hubs are salted;
+    the number of rounds is logarithmic.
     """
     edges = scratch.cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    before = None
     while True:
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before:
+            break
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hubs = [r[0] for r in both.groupBy("u.id").count().filter(F.col("count") >= HUB).orderBy(F.desc("count")).limit(HUBS).collect()]
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _join_nodes(both.filter("v > u"), least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # A node's edges here are at most those to smaller nodes before: the same hubs.
+        small = _join_nodes(large, low, hubs).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         new = scratch.cut(small, "edges")
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
         scratch.drop(edges)
         edges = new
-        if same:
-            break
     out = edges.unionByName(edges.select(F.col("v").alias("u"), "v").distinct())
     out = scratch.cut(out.select(F.col("u.id").alias("id"), F.col("v.id").alias("label"), F.col("v.rep").alias("component_id")), "components")
     scratch.drop(edges)
