@@ -78,6 +78,7 @@ def number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     totals = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # The written table stays for those who read the result.
     return ordered.withColumn("_part", part).join(totals.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before", "_at")
 
 
