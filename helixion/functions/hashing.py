@@ -77,8 +77,9 @@ def canonical_hash(kmer: Column | str) -> Column:
     return unsigned_least(forward_hash(kmer), reverse_hash(kmer))
 
 
-def seeded_hash(kmer: Column | str, seed: int) -> Column:
-    return _seeded(canonical_hash(kmer), F.length(col(kmer)), F.lit(seed))
+def seeded_hash(kmer: Column | str, seed: int, canonical: bool = True) -> Column:
+    """The hash of a k-mer under a seed, of both strands or of its own."""
+    return _seeded(canonical_hash(kmer) if canonical else forward_hash(kmer), F.length(col(kmer)), F.lit(seed))
 
 
 def roll(forward: Column, out_base: Column, in_base: Column, k: int) -> Column:
@@ -125,6 +126,7 @@ def fingerprint(h: Column, hb: int) -> Column:
 _CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
+_COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
 _FORWARD = np.array([*SEEDS.values(), 0], np.uint64)
 _REVERSE = np.array([*reversed(SEEDS.values()), 0], np.uint64)
 
@@ -154,40 +156,89 @@ def hash_reads(reads: DataFrame, k: int, hb: int = 64, seq: str = "seq", strict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if not text or len(text) < k:
-                    continue
-                raw = text.encode()
-                h = read_hashes(raw, k)
-                if strict:
-                    bad = np.concatenate(([0], np.cumsum(_CODE[np.frombuffer(raw, np.uint8)] == 4)))
-                    h = h[bad[k:] == bad[: len(h)]]
-                if hb < 64:
-                    h = h & np.uint64((1 << hb) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["key"])
+            for a in range(0, batch.num_rows, 512):
+                told = []
+                for text in batch.column(0).slice(a, 512).to_pylist():
+                    if not text or len(text) < k:
+                        continue
+                    raw = text.encode()
+                    h = read_hashes(raw, k)
+                    if strict:
+                        bad = np.concatenate(([0], np.cumsum(_CODE[np.frombuffer(raw, np.uint8)] == 4)))
+                        h = h[bad[k:] == bad[: len(h)]]
+                    told.append(h if hb >= 64 else h & np.uint64((1 << hb) - 1))
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(told).view(np.int64))], ["key"])
 
     return reads.select(seq).mapInArrow(run, "key long")
 
 
+#: Multiplier and shift of MurmurHash2.
+MURMUR_M, MURMUR_R = 0x5BD1E995, 24
+
+
+def _murmur2(rows: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of equally long byte strings, the rows of a matrix: one step of all of them a word."""
+    m, low = np.uint64(MURMUR_M), np.uint64(0xFFFFFFFF)
+    n = rows.shape[1]
+    whole = n // 4 * 4
+    words = np.ascontiguousarray(rows[:, :whole]).view("<u4").astype(np.uint64)
+    h = np.full(len(rows), (seed ^ n) & 0xFFFFFFFF, np.uint64)
+    for x in words.T:
+        x = x * m & low
+        h = (h * m & low) ^ ((x ^ (x >> np.uint64(MURMUR_R))) * m & low)
+    if n > whole:
+        rest = np.zeros(len(rows), np.uint64)
+        for i in range(whole, n):
+            rest |= rows[:, i].astype(np.uint64) << np.uint64(8 * (i - whole))
+        h = (h ^ rest) * m & low
+    h = (h ^ (h >> np.uint64(13))) * m & low
+    return h ^ (h >> np.uint64(15))
+
+
 def murmur2(data: bytes, seed: int = 0) -> int:
     """32-bit MurmurHash2 of bytes, little-endian words."""
-    m, low = 0x5BD1E995, 0xFFFFFFFF
-    h = (seed ^ len(data)) & low
-    whole = len(data) // 4 * 4
-    for x in np.frombuffer(data[:whole], "<u4").tolist():
-        x = x * m & low
-        h = (h * m & low) ^ ((x ^ x >> 24) * m & low)
-    if rest := data[whole:]:
-        h = ((h ^ int.from_bytes(rest, "little")) * m) & low
-    h = ((h ^ h >> 13) * m) & low
-    return h ^ h >> 15
+    return int(_murmur2(np.frombuffer(data, np.uint8).reshape(1, -1), seed)[0])
+
+
+def murmur2_all(data: list[bytes | None], seed: int = 0) -> list[int | None]:
+    """Of many strings, those of one length at a time."""
+    out: list[int | None] = [None] * len(data)
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(data):
+        if x is not None:
+            by.setdefault(len(x), []).append(i)
+    for n, at in by.items():
+        rows = np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(len(at), n)
+        for i, h in zip(at, _murmur2(rows, seed).tolist(), strict=True):
+            out[i] = h
+    return out
 
 
 @F.pandas_udf(LongType())
 def murmur2_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else murmur2(x.encode())).astype("Int64")
+    return pd.Series(murmur2_all([None if x is None else x.encode() for x in s]), dtype="Int64")
+
+
+def kmer_murmurs(reads: DataFrame, k: int, key: str = "read_id", seq: str = "seq") -> DataFrame:
+    """key, hashes: MurmurHash2 of every k-mer of the read as it stands, then of its reverse complement. Shorter reads have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for text in batch.column(1).to_pylist():
+                raw = (text or "").encode()
+                if len(raw) < k:
+                    told.append([])
+                    continue
+                both = (np.lib.stride_tricks.sliding_window_view(np.frombuffer(x, np.uint8), k) for x in (raw, raw[::-1].translate(_COMPLEMENT)))
+                told.append(np.concatenate([_murmur2(x, 0) for x in both]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.list_(pa.int64()))], ["key", "hashes"])
+
+    kind = reads.schema[key].dataType.simpleString()
+    return reads.select(key, seq).mapInArrow(run, f"key {kind}, hashes array<bigint>").withColumnRenamed("key", key)
 
 
 def minhash_sketch(hashes: Column, n: int) -> Column:
-    """The n least distinct values of an array, ascending."""
+    """The n least distinct values of an array, ascending. Over ``kmer_murmurs`` it is a sketch of both strands."""
     return F.slice(F.array_sort(F.array_distinct(hashes)), 1, n)

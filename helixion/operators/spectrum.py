@@ -37,11 +37,21 @@ def merge(*spectra: DataFrame, key: str = "kmer") -> DataFrame:
     return add(reduce(DataFrame.unionByName, spectra), key)
 
 
+def beside(a: DataFrame, b: DataFrame, key: str = "kmer") -> DataFrame:
+    """key, x, y: counts in a and in b, 0 where absent; one grouping of both.
+
+    a and b may be spectra or rows to be counted with a column cnt: counts of a
+    key are summed, so nothing needs to be grouped before.
+    """
+    zero = F.lit(0).cast("long")
+    both = a.select(key, F.col("cnt").alias("x"), zero.alias("y")).unionByName(b.select(key, zero.alias("x"), F.col("cnt").alias("y")))
+    return both.groupBy(key).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
 def intersect(a: DataFrame, b: DataFrame, key: str = "kmer", counts: str = "left") -> DataFrame:
     """Keys of both. counts: of a (left), or the lesser of the two (min)."""
-    if counts == "left":
-        return a.join(b, key, "left_semi")
-    return a.join(b.withColumnRenamed("cnt", "_other"), key).select(key, F.least("cnt", "_other").alias("cnt"))
+    both = beside(a, b, key).filter("x > 0 AND y > 0")
+    return both.select(key, (F.col("x") if counts == "left" else F.least("x", "y")).alias("cnt"))
 
 
 def remove(spectrum: DataFrame, deltas: DataFrame, key: str = "kmer") -> DataFrame:
@@ -60,7 +70,7 @@ def replace(spectrum: DataFrame, counts: DataFrame, key: str = "kmer") -> DataFr
 
 def inner_product(a: DataFrame, b: DataFrame, key: str = "kmer") -> DataFrame:
     """One row ``dot``: sum of products over common keys, 0 if there is none."""
-    return a.join(b.withColumnRenamed("cnt", "_other"), key).agg(F.coalesce(F.sum(F.col("cnt") * F.col("_other")), F.lit(0).cast("long")).alias("dot"))
+    return beside(a, b, key).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0).cast("long")).alias("dot"))
 
 
 def magnitude(a: DataFrame) -> DataFrame:
@@ -70,9 +80,7 @@ def magnitude(a: DataFrame) -> DataFrame:
 
 def cosine(a: DataFrame, b: DataFrame, key: str = "kmer") -> DataFrame:
     """One row ``cosine``; both sides are read once, grouped by key once."""
-    both = a.select(key, F.col("cnt").alias("x"), F.lit(0).cast("long").alias("y")).unionByName(b.select(key, F.lit(0).cast("long").alias("x"), F.col("cnt").alias("y")))
-    both = both.groupBy(key).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return both.agg((F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")).cast("double") * F.sum(F.col("y") * F.col("y")).cast("double"))).alias("cosine"))
+    return beside(a, b, key).agg((F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")).cast("double") * F.sum(F.col("y") * F.col("y")).cast("double"))).alias("cosine"))
 
 
 def metadata(spectrum: DataFrame) -> DataFrame:

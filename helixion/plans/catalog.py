@@ -16,9 +16,10 @@ from helixion.operators import similarity as J
 from helixion.operators import spectrum as S
 from helixion.operators import unitigs as U
 from helixion.plans import planner
+from helixion.plans.lineage import Tables
 from helixion.plans.ship import ship
 from helixion.sources import unitig_fasta
-from helixion.streaming.denoise import batches_by_id
+from helixion.streaming.denoise import Denoiser, run_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, K_GRAPH, HB = 11, 15, 40
@@ -42,8 +43,15 @@ def spectrum(r: DataFrame, k: int = K) -> DataFrame:
 
 
 def halves(s: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """The spectra of English reads and of all others."""
     r = reads(s, d)
-    return spectrum(r.filter("lang = 'en'"), k), spectrum(r.filter("lang <> 'en'"), k)
+    return spectrum(r.filter("lang <=> 'en'"), k), spectrum(r.filter("NOT lang <=> 'en'"), k)
+
+
+def half_kmers(s: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """The k-mers of both, uncounted, for operators that group both sides at once."""
+    km = lambda cond: G.canonical_kmers(reads(s, d).filter(cond), k).withColumn("cnt", F.lit(1).cast("long"))
+    return km("lang <=> 'en'"), km("NOT lang <=> 'en'")
 
 
 # --------------------------------------------------------------- SQL pieces
@@ -64,12 +72,62 @@ def counted(where: str = "true", name: str = "sp") -> str:
     return f"{name} AS (SELECT least(w, {rc('w')}) AS kmer, count(*) AS cnt FROM km WHERE {where} GROUP BY 1)"
 
 
+def hash_sql(w: str, k: int, reverse: bool = False) -> str:
+    """The rolling hash of a k-mer as UHUGEINT, base by base from rotated seeds; other letters count as nothing."""
+    pairs = dict(zip("ACGT", "TGCA", strict=True))
+    turn = lambda x, n: ((x << n % 64) | (x >> (64 - n % 64))) & hashing.MASK
+    term = lambda i: " ".join(f"WHEN '{b}' THEN {turn(hashing.SEEDS[pairs[b] if reverse else b], i if reverse else k - 1 - i)}" for b in "ACGT")
+    out = "0::UHUGEINT"
+    for i in range(k):
+        out = f"xor({out}, (CASE substr({w}, {i + 1}, 1) {term(i)} ELSE 0 END)::UHUGEINT)"
+    return out
+
+
+def signed_sql(x: str) -> str:
+    return f"(CASE WHEN ({x})::HUGEINT >= {1 << 63} THEN ({x})::HUGEINT - {1 << 64} ELSE ({x})::HUGEINT END)::BIGINT"
+
+
+def seeded_sql(x: str, k: int, i: int) -> str:
+    by = i ^ (k * hashing.MULTI_SEED & hashing.MASK)
+    y = f"(({x})::UHUGEINT * {by}::UHUGEINT % {1 << 64}::UHUGEINT)"
+    return f"xor({y}, {y} // {1 << hashing.MULTI_SHIFT}::UHUGEINT)"
+
+
+def murmur_sql(w: str, k: int) -> str:
+    """MurmurHash2 of a string of k one-byte letters, word by word."""
+    m, low = hashing.MURMUR_M, 0xFFFFFFFF
+    byte = lambda i: f"ascii(substr({w}, {i + 1}, 1))::HUGEINT"
+    word = lambda a, n: "(" + " + ".join(f"{byte(a + j)} * {1 << 8 * j}" for j in range(n)) + ")"
+    h, steps = f"{k}::HUGEINT", []
+    for a in range(0, k // 4 * 4, 4):
+        steps.append(f"(list_transform([{word(a, 4)} * {m} % {low + 1}], lambda x: xor(x, x // {1 << hashing.MURMUR_R}) * {m} % {low + 1})[1])")
+    for x in steps:
+        h = f"xor({h} * {m} % {low + 1}, {x})"
+    if k % 4:
+        h = f"(xor({h}, {word(k // 4 * 4, k % 4)}) * {m} % {low + 1})"
+    return f"list_transform([list_transform([{h}], lambda x: xor(x, x // 8192) * {m} % {low + 1})[1]], lambda x: xor(x, x // 32768))[1]"
+
+
+#: The batches, trigger and rounds of the streamed count.
+BATCHES, TRIGGER, ROUNDS = 5, 20_000, 2
+
+
+def _denoise_sql() -> str:
+    """Batch after batch: merge, and while rounds are left and the state is large enough, drop what was seen once."""
+    out = [f"WITH {READS}, {windows(K)}", f"c AS (SELECT read_id % {BATCHES} AS b, least(w, {rc('w')}) AS kmer, count(*) AS cnt FROM km GROUP BY 1, 2)", "s0 AS (SELECT ''::VARCHAR AS kmer, 0::BIGINT AS cnt WHERE false)", "u0 AS (SELECT 0 AS used)"]
+    for i in range(BATCHES):
+        out.append(f"m{i} AS MATERIALIZED (SELECT kmer, sum(cnt)::BIGINT AS cnt FROM (FROM s{i} UNION ALL SELECT kmer, cnt FROM c WHERE b = {i}) GROUP BY 1)")
+        out.append(f"u{i + 1} AS MATERIALIZED (SELECT used + (used < {ROUNDS} AND (SELECT count(*) FROM m{i}) >= {TRIGGER})::INT AS used FROM u{i})")
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT kmer, cnt FROM m{i}, u{i}, u{i + 1} WHERE cnt > 1 OR u{i}.used = u{i + 1}.used)")
+    return ", ".join(out) + f" SELECT kmer, cnt FROM s{BATCHES} WHERE cnt > 1"
+
+
 def on_spectrum(select: str, k: int = K) -> str:
     return f"WITH {READS}, {windows(k)}, {counted()} {select}"
 
 
 def on_halves(select: str) -> str:
-    return f"WITH {READS}, {windows(K)}, {counted("lang = 'en'", 'a')}, {counted("lang <> 'en'", 'b')} {select}"
+    return f"WITH {READS}, {windows(K)}, {counted("lang IS NOT DISTINCT FROM 'en'", 'a')}, {counted("lang IS DISTINCT FROM 'en'", 'b')} {select}"
 
 
 #: Both strands of solid k-mers, inner links, chains walked from their heads, and cycles from their least k-mers.
@@ -222,8 +280,7 @@ def _tandem(s: SparkSession, d: str) -> DataFrame:
 
 
 def _same(s: SparkSession, d: str) -> DataFrame:
-    r = reads(s, d).filter("length(seq) > 0")
-    return J.same_sequence(r, r.withColumnRenamed("read_id", "other_id"), "read_id", "other_id").filter("read_id < other_id")
+    return J.same_sequence(reads(s, d), "read_id")
 
 
 def _fingerprints(s: SparkSession, d: str) -> DataFrame:
@@ -231,13 +288,17 @@ def _fingerprints(s: SparkSession, d: str) -> DataFrame:
 
 
 def _hashes(s: SparkSession, d: str) -> DataFrame:
-    km = G.canonical_kmers(items(s, d), K, canonical=False).distinct()
-    return km.select("kmer", hashing.forward_hash("kmer").alias("forward"), hashing.reverse_hash("kmer").alias("reverse"), hashing.canonical_hash("kmer").alias("canonical"), hashing.murmur2_udf("kmer").alias("murmur"))
+    km = G.canonical_kmers(reads(s, d), K, canonical=False).distinct()
+    return km.select(
+        "kmer", hashing.forward_hash("kmer").alias("forward"), hashing.reverse_hash("kmer").alias("reverse"), hashing.canonical_hash("kmer").alias("canonical"), hashing.murmur2_udf("kmer").alias("murmur"),
+        hashing.seeded_hash("kmer", 7, canonical=False).alias("seeded_forward"), hashing.seeded_hash("kmer", 7).alias("seeded"),
+    )
 
 
 def _multi(s: SparkSession, d: str) -> DataFrame:
-    km = G.canonical_kmers(items(s, d), K, canonical=False).distinct()
-    return km.select("kmer", hashing.multi_hash("kmer", 3).alias("hashes"), hashing.checked_hash("kmer")["valid"].alias("valid"))
+    km = reads(s, d, "acgtn").select(F.explode(G.forward_windows(F.col("seq"), K)).alias("kmer")).distinct()
+    out = km.select("kmer", hashing.multi_hash("kmer", 3).alias("h"), hashing.checked_hash("kmer").alias("c"))
+    return out.select("kmer", *[F.get("h", F.lit(i)).alias(f"h{i}") for i in range(3)], "c.valid", "c.loc_n", F.col("c.hash").alias("checked"))
 
 
 def _align(s: SparkSession, d: str) -> DataFrame:
@@ -251,9 +312,17 @@ def _incoming_n(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rounds(s: SparkSession, d: str) -> DataFrame:
-    """One removal between two batches of reads, as a plan."""
-    a, b = (spectrum(x) for x in batches_by_id(reads(s, d), 2))
-    return S.merge(S.denoise(a), b)
+    """The streamed count: batches of reads, removal rounds by trigger, and one at the end."""
+    state = Tables(s, "denoise")
+    den = Denoiser(s, f"{state.root}/state", TRIGGER, ROUNDS, end_denoise=True)
+    r = reads(s, d)
+    batches = [r.filter(F.pmod(F.coalesce("read_id", F.lit(0)), F.lit(BATCHES)) == i) for i in range(BATCHES)]
+    return run_batches(den, [G.canonical_kmers(b, K) for b in batches])
+
+
+def _murmurs(s: SparkSession, d: str) -> DataFrame:
+    h = hashing.kmer_murmurs(reads(s, d), K)
+    return h.select("read_id", F.size("hashes").cast("long").alias("n"), F.aggregate("hashes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min("hashes").alias("least"))
 
 
 def _classify(s: SparkSession, d: str) -> DataFrame:
@@ -291,17 +360,18 @@ QUERIES: dict[str, Query] = {
     "dna_neighbours": _neighbours,
     "hash_kmers": _hashes,
     "hash_multi": _multi,
+    "kmer_murmurs": _murmurs,
     "spectrum_solid": lambda s, d: S.solid(spectrum(reads(s, d)), 3, 50),
     "spectrum_metadata": lambda s, d: S.metadata(spectrum(reads(s, d))),
     "spectrum_histogram": lambda s, d: S.histogram(spectrum(reads(s, d))),
     "spectrum_moments": lambda s, d: S.moments(spectrum(reads(s, d))),
     "spectrum_scan": lambda s, d: S.scan(spectrum(reads(s, d)), "G"),
-    "spectrum_merge": lambda s, d: S.merge(*halves(s, d)),
-    "spectrum_intersect": lambda s, d: S.intersect(*halves(s, d)),
-    "spectrum_intersect_min": lambda s, d: S.intersect(*halves(s, d), counts="min"),
-    "spectrum_inner_product": lambda s, d: S.inner_product(*halves(s, d)),
+    "spectrum_merge": lambda s, d: S.merge(*half_kmers(s, d)),
+    "spectrum_intersect": lambda s, d: S.intersect(*half_kmers(s, d)),
+    "spectrum_intersect_min": lambda s, d: S.intersect(*half_kmers(s, d), counts="min"),
+    "spectrum_inner_product": lambda s, d: S.inner_product(*half_kmers(s, d)),
     "spectrum_magnitude": lambda s, d: S.magnitude(spectrum(reads(s, d))),
-    "spectrum_cosine": lambda s, d: S.cosine(*halves(s, d)).select(F.round("cosine", 6).alias("cosine")),
+    "spectrum_cosine": lambda s, d: S.cosine(*half_kmers(s, d)).select(F.round("cosine", 6).alias("cosine")),
     "spectrum_lookup": _lookup,
     "spectrum_remove": _remove,
     "spectrum_delete": lambda s, d: S.delete(*halves(s, d)),
@@ -398,7 +468,19 @@ ORACLES: dict[str, str] = {
       SELECT read_id, item_id, sum(run)::BIGINT AS n_in_runs, round(sqrt(sum(run * run) / (max(n) * max(n))), 6) AS ratio FROM r JOIN n USING (item_id) GROUP BY ALL""",
     "tandem_repeat": f"""WITH {READS}, {windows(4)}, b AS (SELECT read_id, w FROM km UNION ALL SELECT read_id, {rc('w')} FROM km), c AS (SELECT read_id, w, count(*) AS n FROM b GROUP BY ALL),
       t AS (SELECT read_id, coalesce(sum(n) FILTER (n >= 10), 0) >= 100 AS is_tandem FROM c GROUP BY 1) SELECT reads.read_id, coalesce(is_tandem, false) AS is_tandem FROM reads LEFT JOIN t USING (read_id)""",
-    "same_sequence": f"WITH {READS}, c AS (SELECT read_id, least(seq, {rc('seq')}) AS c FROM reads WHERE seq <> '') SELECT a.read_id, b.read_id AS other_id FROM c a JOIN c b ON a.c = b.c AND a.read_id < b.read_id",
+    "same_sequence": f"""WITH {READS}, c AS (SELECT read_id, least(seq, {rc('seq')}) AS c FROM reads WHERE seq <> '')
+      SELECT read_id, min(read_id) OVER (PARTITION BY c) AS first FROM c QUALIFY count(*) OVER (PARTITION BY c) > 1""",
+    "kmer_fingerprints": f"WITH {READS}, {windows(K)} SELECT ({signed_sql(f'least({hash_sql("w", K)}, {hash_sql("w", K, True)}) % {1 << HB}')}) AS key, count(*) AS cnt FROM km GROUP BY 1",
+    "hash_kmers": f"""WITH {READS}, {windows(K)}, h AS (SELECT w AS kmer, {hash_sql('w', K)} AS f, {hash_sql('w', K, True)} AS r FROM (SELECT DISTINCT w FROM km))
+      SELECT kmer, {signed_sql('f')} AS forward, {signed_sql('r')} AS reverse, {signed_sql('least(f, r)')} AS canonical, {murmur_sql('kmer', K)}::BIGINT AS murmur,
+        {signed_sql(seeded_sql('f', K, 7))} AS seeded_forward, {signed_sql(seeded_sql('least(f, r)', K, 7))} AS seeded FROM h""",
+    "hash_multi": f"""WITH n AS (SELECT DISTINCT substr(seq, i, {K}) AS kmer FROM (SELECT seq, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM (SELECT upper(regexp_replace(lower(text), '[^acgtn]', '', 'g')) AS seq FROM documents))),
+      h AS (SELECT kmer, {hash_sql('kmer', K)} AS f, {hash_sql('kmer', K, True)} AS r, contains(kmer, 'N') AS bad FROM n), c AS (SELECT *, least(f, r) AS c FROM h)
+      SELECT kmer, {signed_sql('c')} AS h0, {signed_sql(seeded_sql('c', K, 1))} AS h1, {signed_sql(seeded_sql('c', K, 2))} AS h2, NOT bad AS valid,
+        CASE WHEN bad THEN {K} - strpos(reverse(kmer), 'N') ELSE 0 END::INT AS loc_n, CASE WHEN bad THEN 0 ELSE {signed_sql('c')} END AS checked FROM c""",
+    "kmer_murmurs": f"""WITH {READS}, {windows(K)}, h AS (SELECT read_id, {murmur_sql('w', K)} AS a, {murmur_sql(rc('w'), K)} AS b FROM km)
+      SELECT reads.read_id, count(a) * 2 AS n, coalesce(sum(a) + sum(b), 0)::BIGINT AS total, least(min(a), min(b))::BIGINT AS least FROM reads LEFT JOIN h USING (read_id) GROUP BY 1""",
+    "denoise_rounds": _denoise_sql(),
 }
 
 

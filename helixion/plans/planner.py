@@ -88,7 +88,9 @@ class Plan:
     hb: int
     trigger: int
     upper_rounds: int
-    """Most rounds of a filter of this size; 0: no bound."""
+    """Most rounds of a filter of this size; 0 where there is no bound."""
+    bounded: bool = False
+    """Whether upper_rounds is a bound."""
 
 
 def _slots(n: int, digits: int, false_total: int, rounds: int) -> int:
@@ -117,18 +119,17 @@ def plan(k: int, n_true: int, total: int, alpha: float | None = None, profile: l
     low = first
     while low and _slots(n_true, digits, false_total, low - 1) <= size - 1:
         low -= 1
-    upper, half = 0, size >> 1
-    if int(n_true * (digits + 1.5)) <= half:
-        upper = first
-        while _slots(n_true, digits, false_total, upper) >= half and upper < (1 << 40):
-            step = _slots(n_true, digits, false_total, upper)
-            if _slots(n_true, digits, false_total, 1 << 40) >= half:
-                upper = 0  # never falls below half the size
-                break
-            upper += 1 if step >= half else 0
-        else:
-            upper -= 1 if upper else 0
-    return Plan(true_total, false_total, mean, first, low, slots, qb, qb + 8, n_true + false_total // (low + 1), upper)
+    upper, bounded, half = 0, False, size >> 1
+    if int(n_true * (digits + 1.5)) < half:
+        # More rounds never need more slots: bisect for the most that still need at least half the size.
+        under, over = first, max(1, first)
+        while _slots(n_true, digits, false_total, over) >= half:
+            under, over = over, over * 2
+        while over - under > 1:
+            mid = (under + over) // 2
+            under, over = (mid, over) if _slots(n_true, digits, false_total, mid) >= half else (under, mid)
+        upper, bounded = under, True
+    return Plan(true_total, false_total, mean, first, low, slots, qb, qb + 8, n_true + false_total // (low + 1), upper, bounded)
 
 
 @dataclass(frozen=True)
