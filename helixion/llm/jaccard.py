@@ -470,7 +470,8 @@ def allocate(shared: DataFrame, spared: dict[int, int]) -> DataFrame:
                         np.maximum.at(cost, seg, sizes[at])
                         probe[at[np.isin(seg, np.argsort(-cost, kind="stable")[:spare])]] = False
                 if keep.any():
-                    out.append((row["id"], row["n"], int((sizes - 1)[keep].sum()), keys[keep].tobytes(), probe[keep].tobytes()))
+                    # Sums of tasks count only as OFTEN, which all of them reach: so scores of sets told by different tasks compare.
+                    out.append((row["id"], row["n"], int(np.minimum(sizes - 1, OFTEN - 1)[keep].sum()), keys[keep].tobytes(), probe[keep].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "n", "score", "keys", "probe"])
 
