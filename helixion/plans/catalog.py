@@ -18,7 +18,8 @@ from helixion.operators import unitigs as U
 from helixion.plans import planner
 from helixion.plans.lineage import Tables
 from helixion.plans.ship import ship
-from helixion.sources import unitig_fasta
+from helixion.sources import reads as R
+from helixion.sources import spectrum_store, unitig_fasta
 from helixion.streaming.denoise import Denoiser, run_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,35 @@ def _reloaded(s: SparkSession, d: str) -> DataFrame:
     return text.select("unitig_id", dna.header_field(head, "LN:i").cast("long").alias("len"), dna.header_field(head, "KC:i").cast("long").alias("kmers"), dna.header_field(head, "km:f").cast("long").alias("median"), seq.alias("seq"))
 
 
+def _fastq(s: SparkSession, d: str) -> DataFrame:
+    """The reads written as FASTQ files and read back, beside a path that doesn't exist."""
+    path = Tables(s, "fastq").path()
+    record = F.concat(F.lit("@"), F.coalesce(F.col("read_id").cast("string"), F.lit("")), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
+    reads(s, d).select(record.alias("value")).write.text(path)
+    return R.fastq_records(s, [path, f"{path}-missing"], skip_missing=True).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+def _fasta(s: SparkSession, d: str) -> DataFrame:
+    """The reads written as FASTA files, wrapped at 60 bases, and read back."""
+    path = Tables(s, "fasta").path()
+    record = F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit(" doc\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
+    reads(s, d).select(record.alias("value")).write.text(path)
+    return R.fasta(s, [path]).select("header", "seq")
+
+
+def _saved(s: SparkSession, d: str) -> DataFrame:
+    path = Tables(s, "saved").path()
+    spectrum_store.save(spectrum(reads(s, d)), path, K)
+    return spectrum_store.load(s, path, K)
+
+
+def _end_index(s: SparkSession, d: str) -> DataFrame:
+    """The end index of the graph's FASTA file, as read back."""
+    path = Tables(s, "unitig-fasta").path()
+    unitig_fasta.write(graph(s, d), K_GRAPH, path)
+    return unitig_fasta.load_with_ends(s, path, K_GRAPH)[1].select("end_kmer", "unitig_id", "sign")
+
+
 def _scalars(s: SparkSession, d: str) -> DataFrame:
     r = reads(s, d)
     c = F.col("seq")
@@ -384,6 +414,11 @@ QUERIES: dict[str, Query] = {
     "unitig_totals": lambda s, d: U.totals(graph(s, d)),
     "unitig_ends": lambda s, d: U.ends(graph(s, d), K_GRAPH),
     "unitig_fasta": _reloaded,
+    "unitig_text": lambda s, d: unitig_fasta.to_fasta(graph(s, d), K_GRAPH),
+    "unitig_end_index": _end_index,
+    "fastq_reads": _fastq,
+    "fasta_records": _fasta,
+    "spectrum_saved": _saved,
     "unitig_first_wins": lambda s, d: U.first_wins(graph(s, d), K_GRAPH),
     "unitig_classify_reads": _classify,
     "contig_summary": _summary,
@@ -446,6 +481,14 @@ ORACLES: dict[str, str] = {
     "unitig_totals": UNITIGS + f"SELECT count(*) AS n_unitigs, sum(len)::BIGINT AS total_len, count(*) FILTER (seq = {rc('seq')}) AS n_palindromic FROM u",
     "unitig_ends": UNITIGS + "SELECT end_kmer, unitig_id, sign FROM ends",
     "unitig_fasta": UNITIGS + f"SELECT unitig_id, len::BIGINT AS len, (median_abundance::BIGINT * (len - {K_GRAPH - 1}))::BIGINT AS kmers, median_abundance::BIGINT AS median, seq FROM u",
+    "unitig_text": UNITIGS + f""", t AS (SELECT src, string_agg('L:' || CASE src_sign WHEN 1 THEN '+' ELSE '-' END || ':' || dst || ':' || CASE dst_sign WHEN 1 THEN '+' ELSE '-' END, ' '
+        ORDER BY CASE src_sign WHEN 1 THEN strpos('ACGT', base) ELSE 10 - strpos('ACGT', base) END, src_sign, dst, dst_sign) AS links FROM lk GROUP BY src)
+      SELECT unitig_id, '>' || unitig_id || ' LN:i:' || len || ' KC:i:' || median_abundance::BIGINT * (len - {K_GRAPH - 1}) || ' km:f:' || median_abundance || coalesce(' ' || links, '') || chr(10) || seq AS value
+      FROM u LEFT JOIN t ON t.src = u.unitig_id""",
+    "unitig_end_index": UNITIGS + "SELECT end_kmer, unitig_id, sign FROM ends QUALIFY row_number() OVER (PARTITION BY end_kmer ORDER BY unitig_id) = 1",
+    "fastq_reads": f"WITH {READS} SELECT seq, count(*) AS n FROM reads GROUP BY seq",
+    "fasta_records": f"WITH {READS} SELECT read_id || ' doc' AS header, seq FROM reads",
+    "spectrum_saved": on_spectrum("SELECT * FROM sp"),
     "unitig_first_wins": UNITIGS + f"SELECT unitig_id, seq, len, median_abundance FROM u QUALIFY row_number() OVER (PARTITION BY left(seq, {K_GRAPH}) ORDER BY unitig_id) = 1",
     "unitig_classify_reads": UNITIGS + f""", c AS (SELECT (left(seq, {K_GRAPH}) IN (SELECT end_kmer FROM ends))::INT + ({rc(f'right(seq, {K_GRAPH})')} IN (SELECT end_kmer FROM ends))::INT AS n FROM reads WHERE length(seq) >= {K_GRAPH})
       SELECT CASE n WHEN 2 THEN 'both' WHEN 1 THEN 'one' ELSE 'none' END AS known_ends, count(*) AS n FROM c GROUP BY 1""",

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from helixion.plans.lineage import hadoop
+
 SCHEMA = "path string, read_id long, seq string"
 
 
@@ -75,8 +77,18 @@ class FastqSource(DataSource):
         return FastqReader([p for p in self.options["paths"].split("\n") if p], self.options.get("skipmissing", "false") == "true")
 
 
-def fastq_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, read_id, seq by Spark's own text reader: any store Spark reads, gzip and bzip2 by extension, plain files split.
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that exist, in any store that Spark reads."""
+    found = []
+    for p in paths:
+        fs, path = hadoop(spark, p)
+        if fs.exists(path):
+            found.append(p)
+    return found
+
+
+def fastq_records(spark: SparkSession, paths: list[str], skip_missing: bool = False) -> DataFrame:
+    """path, read_id, seq by Spark's own text reader: any store Spark reads, gzip and bzip2 by extension, plain files split. skip_missing: paths that don't exist are left out, else they are an error.
 
     Four-line framing needs a line's number in its file: lines are numbered in
     their split, and splits are offset by the line totals before them.
@@ -85,6 +97,9 @@ def fastq_records(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     from helixion.plans.lineage import cut
 
+    paths = present(spark, paths) if skip_missing else paths
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
     lines = cut(spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("seq")))
     totals = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
