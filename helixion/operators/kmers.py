@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixion.functions import dna
@@ -74,22 +73,30 @@ def incoming_n_kmers(seq: Column, k: int) -> Column:
     return F.flatten(F.transform(texts, lambda t: forward_windows(t, k)))
 
 
+def clean_runs(reads: DataFrame, k: int, seq: str = "seq", key: str = "read_id") -> DataFrame:
+    """key, n, runs: number of windows of each read, and its windows without N as (pos, n, w), n the places up to the next of them. All within the row."""
+    s = reads.select(key, F.upper(F.col(seq)).alias("s")).select(key, forward_windows(F.col("s"), k).alias("ws"))
+    placed = F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("w")))
+    s = s.select(key, F.size("ws").alias("n"), F.filter(placed, lambda x: ~F.contains(x["w"], F.lit("N"))).alias("c"))
+    till = F.concat(F.slice(F.col("c")["pos"], F.lit(2), F.size("c")), F.array("n"))
+    runs = F.zip_with("c", till, lambda x, e: F.struct(x["pos"].alias("pos"), (e - x["pos"]).alias("n"), x["w"].alias("w")))
+    return s.select(key, "n", F.filter(runs, lambda x: x["w"].isNotNull()).alias("runs"))
+
+
 def positioned_codes(reads: DataFrame, k: int, max_k: int = 31, seq: str = "seq", key: str = "read_id") -> DataFrame:
     """key, strand, pos, code: encoded forward k-mers by place, then those of the reverse complement from the end.
 
     A window with N repeats the last window without one before it, so every
-    place has a value; places before the first clean window have none.
+    place has a value; places before the first clean window have none. Nothing
+    is shuffled; rows that share a key are read each by itself.
     """
     if k > max_k:
         raise ValueError(f"k = {k} is not supported, at most {max_k}")
-    s = reads.select(key, F.upper(F.col(seq)).alias("s"))
-    w = s.select(key, F.posexplode(forward_windows(F.col("s"), k)).alias("pos", "w"))
-    clean = F.when(~F.contains("w", F.lit("N")), F.col("w"))
-    w = w.withColumn("w", F.last(clean, ignorenulls=True).over(W.partitionBy(key).orderBy("pos"))).filter("w IS NOT NULL")
-    f = w.select(key, F.lit("+").alias("strand"), "pos", dna.encode("w").alias("code"))
-    last = W.partitionBy(key)
-    r = w.select(key, F.lit("-").alias("strand"), (F.max("pos").over(last) - F.col("pos")).alias("pos"), dna.encode(dna.reverse_complement("w")).alias("code"))
-    return f.unionByName(r)
+    w = clean_runs(reads, k, seq, key).select(key, F.col("n").alias("size"), F.inline("runs"))
+    w = w.select(key, "size", dna.encode("w").alias("f"), dna.encode(dna.reverse_complement("w")).alias("r"), F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
+    return w.select(key, F.inline(F.array(*[
+        F.struct(F.lit(strand).alias("strand"), pos.alias("pos"), F.col(code).alias("code")) for strand, pos, code in (("+", F.col("pos"), "f"), ("-", F.col("size") - 1 - F.col("pos"), "r"))
+    ])))
 
 
 def mid_read_seeds(reads: DataFrame, k: int, rule: str = "center", seq: str = "seq") -> DataFrame:
