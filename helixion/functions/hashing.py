@@ -3,8 +3,8 @@
 The hash of a k-mer is the exclusive or of its bases' seeds, each rotated by
 its distance from the end; the reverse strand's is that of the complements,
 rotated by their distance from the start. The canonical hash is the unsigned
-lesser one. Single k-mers are hashed by expressions; whole reads by an Arrow
-function over prefix folds, constant work a k-mer.
+lesser one. Single k-mers are hashed by expressions, large tables of them by an
+Arrow function, whole reads by one over prefix folds, constant work a k-mer.
 """
 
 from __future__ import annotations
@@ -151,6 +151,53 @@ def read_hashes(seq: bytes, k: int) -> np.ndarray:
     return np.minimum(forward, reverse)
 
 
+def kmer_hashes(rows: np.ndarray) -> np.ndarray:
+    """Canonical hashes of equally long k-mers, the rows of a matrix of bytes: one step of all of them a letter."""
+    k = rows.shape[1]
+    f, r = np.zeros((2, len(rows)), np.uint64)
+    for i, c in enumerate(_CODE[rows].T):
+        f ^= _rot(_FORWARD, np.array(k - 1 - i))[c]
+        r ^= _rot(_REVERSE, np.array(i))[c]
+    return np.minimum(f, r)
+
+
+def hash_table(kmers: DataFrame, m: int, kmer: str = "kmer") -> DataFrame:
+    """kmer, h, valid, loc_n, hash: ``multi_hash`` and the fields of ``checked_hash`` of each row's k-mer, of any lengths.
+
+    For large tables: an Arrow function of whole rows. Beside a function of a
+    column, Spark keeps the rows themselves, on disk where memory is short.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            h, loc = np.zeros((n, m), np.uint64), np.zeros(n, np.int32)
+            bad, null = np.zeros(n, bool), np.zeros(n, bool)
+            by: dict[int, list[int]] = {}
+            texts = batch.column(0).to_pylist()
+            for i, x in enumerate(texts):
+                by.setdefault(-1 if x is None else len(x), []).append(i)
+            null[by.pop(-1, [])] = True
+            for k, at in by.items():
+                raw = "".join([texts[i] for i in at]).encode("ascii", "replace")  # a byte a letter
+                rows = np.frombuffer(raw, np.uint8).reshape(len(at), k)
+                other = _CODE[rows] == 4
+                bad[at] = other.any(axis=1)
+                loc[at] = np.where(bad[at], k - 1 - other[:, ::-1].argmax(axis=1), 0) if k else 0
+                h[at, 0] = base = kmer_hashes(rows)
+                for j in range(1, m):
+                    x = base * np.uint64(j ^ (k * MULTI_SEED & MASK))
+                    h[at, j] = x ^ (x >> np.uint64(MULTI_SHIFT))
+            values = pa.array(h.view(np.int64).ravel(), mask=np.repeat(null, m))
+            told = [
+                batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), values), pa.array(~bad, mask=null), pa.array(loc),
+                pa.array(np.where(bad, np.uint64(0), h[:, 0]).view(np.int64), mask=null),
+            ]
+            yield pa.RecordBatch.from_arrays(told, ["kmer", "h", "valid", "loc_n", "hash"])
+
+    return kmers.select(kmer).mapInArrow(run, "kmer string, h array<bigint>, valid boolean, loc_n int, hash bigint")
+
+
 def hash_reads(reads: DataFrame, k: int, hb: int = 64, seq: str = "seq", strict: bool = True) -> DataFrame:
     """key BIGINT: fingerprint of every canonical k-mer; strict leaves out windows with other than ACGT."""
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helixion.functions import dna, hashing, stats
 from helixion.operators import similarity as J
+from helixion.plans import catalog
 
 GOLDEN = {  # forward, reverse, canonical
     "ATGC": ("30fd466de7b75ffd", "979c4e03f857f8af", "30fd466de7b75ffd"),
@@ -51,6 +52,24 @@ def test_checked_and_multi_hash(spark):
     assert second & (1 << 64) - 1 == x ^ x >> 27
 
 
+def test_hash_table_equals_column_functions(spark):
+    """Of k-mers of any lengths, null, empty and with other letters too."""
+    rng = random.Random(11)
+    odd = ["", "N", "acgtACGT", "ACNGTNA", "GéN", "ACé", "NNNNN"]
+    seqs = odd + ["".join(rng.choice("ACGTNacgtn") for _ in range(n)) for n in range(1, 71)] + ["".join(rng.choice("ACGTN") for _ in range(11)) for _ in range(200)]
+    df = spark.createDataFrame([(s,) for s in seqs], "word string")
+    plain = df.select("word", hashing.multi_hash("word", 4).alias("h"), hashing.checked_hash("word").alias("c")).select("word", "h", "c.*")
+    got = hashing.hash_table(df.union(spark.createDataFrame([(None,)], "word string")).coalesce(1), 4, "word").collect()
+    assert [tuple(r) for r in got if r.kmer is None] == [(None, [None] * 4, None, 0, None)]
+    assert sorted((tuple(r) for r in got if r.kmer is not None), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_hash_multi_keeps_no_rows_beside_python(spark):
+    """Rows that wait beside a Python column function took more than four times the input's size of disk."""
+    plan = catalog.QUERIES["hash_multi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
 def test_murmur2_known_values():
     assert hashing.murmur2(b"") == 0
     assert hashing.murmur2(b"", 1) == 1540447798
